@@ -12,12 +12,10 @@ round would end, is how a circle shows.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.runtime import checkpoint, join_unique
+from mnemospark.runtime import checkpoint
 
 CYCLE_DEPTH = -1
 MAX_ROUNDS = 200
@@ -33,91 +31,83 @@ def parent_links(nodes: DataFrame, node: str = "id", parent: str = "superseded_b
     links = nodes.select(F.col(node).cast("string").alias("node"), F.col(parent).cast("string").alias("parent")).where(
         "node is not null and parent is not null and parent <> ''"
     )
-    return join_unique(links.distinct(), known, "parent").groupBy("node").agg(F.min("parent").alias("parent"))
-
-
-def _record(edges: DataFrame, step: int) -> DataFrame:
-    return edges.select("node", "parent", "via", F.lit(step).alias("step"))
+    return links.distinct().join(known, "parent").groupBy("node").agg(F.min("parent").alias("parent"))
 
 
 def _coin(node: str, step: int):
     return F.pmod(F.xxhash64(node, F.lit(step)), F.lit(2))
 
 
-def resolve_hierarchy(links: DataFrame) -> DataFrame:
+def resolve_hierarchy(links: DataFrame, with_paths: bool = True) -> DataFrame:
     """Root, depth and path of every node that has a parent.
 
-    ``links`` has one row (node, parent) per node with a parent. Result: ``node, root, depth, path, on_cycle``; path is
-    the array of successors from the parent to the root. A node whose path runs into a circle has depth -1, the
-    smallest id on the circle as root and no path (null); ``on_cycle`` tells the members of the circle from the
-    nodes that lead to it. An empty table gives an empty result. A node that is its own parent is a circle of one.
+    ``links`` has one row (node, parent) per node with a parent. Result: ``node, root, depth`` and, if asked for,
+    ``path``: the array of successors from the parent to the root, and ``on_cycle``. A node whose path runs into a
+    circle has depth -1, the smallest id on the circle as root and a null path; ``on_cycle`` tells the members of the
+    circle from the nodes that lead to it. An empty table gives an empty result. A node that is its own parent is a circle of one.
+
+    Every link carries the number of original links it stands for, the smallest id it skipped and, for paths, the
+    ids it skipped in order. The hot parent of very many nodes is aggregated on the map side when children are
+    counted; in the replay its join partition is one that adaptive execution splits.
     """
-    edges = checkpoint(links.select("node", "parent", F.array().cast("array<string>").alias("via")))
-    records: list[DataFrame] = []
-    left = edges.count()
+    none = F.array().cast("array<string>")
+    via = (lambda *parts: F.concat(*parts)) if with_paths else (lambda *parts: none)
+    links = checkpoint(links.select("node", "parent"))
+    edges = links.select("node", "parent", F.lit(1).alias("steps"), F.lit(None).cast("string").alias("low"), none.alias("via"))
+    # A parent without a parent is a root of the forest.
+    roots = links.select(F.col("parent").alias("node")).join(links.select("node"), "node", "left_anti").distinct()
+    done = checkpoint(roots.select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), none.alias("path")))
+    rounds: list[DataFrame] = []
     for step in range(MAX_ROUNDS):
-        if left == 0 or edges.where("node <> parent").isEmpty():
+        children = edges.groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("children"), F.min("node").alias("child"))
+        # Rake: a leaf goes. Compress: v with the only child c goes if v's coin is 1 and c's is 0, so that no neighbour
+        # is spliced out together with it. A child raked in the same round is replayed after v.
+        spliced = (F.col("children") == 1) & (F.col("child") != F.col("node")) & (F.col("parent") != F.col("node")) & (_coin("node", step) == 1) & (_coin("child", step) == 0)
+        marked = checkpoint(
+            edges.join(children, "node", "left").withColumn("fate", F.when(F.col("children").isNull(), "raked").when(spliced, "spliced").otherwise("kept"))
+        )
+        rounds.append(marked.where("fate <> 'kept'").drop("children"))
+        kept = marked.where("fate = 'kept'").select("node", "parent", "steps", "low", "via")
+        if kept.where("node <> parent").isEmpty():
+            edges = kept
             break
-        # Rake: nodes without children, which hang from another node.
-        inner = edges.groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("children"))
-        marked = checkpoint(edges.join(inner, "node", "left"))
-        records.append(_record(marked.where("children is null"), 2 * step))
-        rest = marked.where("children is not null").drop("children")
-        # Compress: v with the only child c leaves if v's coin is 1 and c's is 0, so no neighbour leaves with it.
-        only = (
-            rest.groupBy(F.col("parent").alias("node"))
-            .agg(F.count(F.lit(1)).alias("children"), F.min("node").alias("child"))
-            .where("children = 1 and node <> child")
-            .where((_coin("node", step) == 1) & (_coin("child", step) == 0))
+        over = marked.where("fate = 'spliced'").select(
+            F.col("child").alias("node"), F.col("node").alias("mid"), F.col("parent").alias("up"), F.col("steps").alias("more"), F.col("low").alias("lower"), F.col("via").alias("rest")
         )
-        spliced = checkpoint(rest.join(only.select("node", "child"), "node").where("node <> parent"))
-        records.append(_record(spliced, 2 * step + 1))
-        over = spliced.select(F.col("child").alias("node"), F.col("node").alias("mid"), F.col("parent").alias("up"), F.col("via").alias("rest"))
-        kept = rest.join(spliced.select("node"), "node", "left_anti").join(over, "node", "left")
-        edges = checkpoint(
-            kept.select(
-                "node",
-                F.coalesce("up", "parent").alias("parent"),
-                F.when(F.col("mid").isNull(), F.col("via")).otherwise(F.concat("via", F.array("mid"), "rest")).alias("via"),
-            )
+        edges = kept.join(over, "node", "left").select(
+            "node",
+            F.coalesce("up", "parent").alias("parent"),
+            (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
+            F.least("low", "mid", "lower").alias("low"),
+            F.when(F.col("mid").isNull(), F.col("via")).otherwise(via("via", F.array("mid"), "rest")).alias("via"),
         )
-        left = edges.count()
     else:
         raise RuntimeError(f"the contraction didn't end within {MAX_ROUNDS} rounds")
 
-    # Cores: one node that is its own parent stands for a circle through the nodes of via.
-    core = edges.select(
+    # Cores: one node that is its own parent stands for a circle through the nodes it skips.
+    no_path = F.lit(None).cast("array<string>")
+    done = done.unionByName(edges.select("node", F.least("node", "low").alias("root"), F.lit(CYCLE_DEPTH).alias("depth"), no_path.alias("path")))
+    for marked in reversed(rounds):
+        first = checkpoint(done.unionByName(_replay(marked.where("fate = 'spliced'"), done, with_paths)))
+        done = checkpoint(first.unionByName(_replay(marked.where("fate = 'raked'"), first, with_paths)))
+    found = done.join(links, "node", "left_semi")
+    if not with_paths:
+        return found.drop("path")
+    circles = edges.select(F.explode(F.concat(F.array("node"), "via")).alias("node"), F.lit(True).alias("member"))
+    return found.join(circles, "node", "left").withColumn("on_cycle", F.coalesce("member", F.lit(False))).drop("member")
+
+
+def _replay(batch: DataFrame, done: DataFrame, with_paths: bool) -> DataFrame:
+    """The removed nodes of ``batch``, resolved through the nodes they hung from."""
+    up = done.select(F.col("node").alias("parent"), "root", F.col("depth").alias("above"), F.col("path").alias("rest"))
+    circle = F.col("above") == CYCLE_DEPTH
+    path = F.concat("via", F.array("parent"), "rest") if with_paths else F.array().cast("array<string>")
+    return batch.join(up, "parent").select(
         "node",
-        F.array_min(F.concat(F.array("node"), "via")).alias("root"),
-        F.lit(CYCLE_DEPTH).alias("depth"),
-        F.lit(None).cast("array<string>").alias("path"),
-        F.lit(True).alias("on_cycle"),
-        F.concat(F.array("node"), "via").alias("members"),
+        "root",
+        F.when(circle, F.lit(CYCLE_DEPTH)).otherwise(F.col("above") + F.col("steps")).alias("depth"),
+        F.when(~circle, path).alias("path"),
     )
-    on_cycle = core.select(F.explode("members").alias("node")).distinct()
-    done = core.drop("members", "on_cycle")
-    if not records:
-        return done.withColumn("on_cycle", F.lit(True))
-    log = checkpoint(reduce(DataFrame.unionByName, records))
-    steps = [r.step for r in log.select("step").distinct().orderBy(F.desc("step")).collect()]  # at most two a round
-    for step in steps:
-        batch = log.where(F.col("step") == step).drop("step")
-        known = done.select(F.col("node").alias("parent"), "root", "depth", "path")
-        # A parent that was never removed is a root of the forest.
-        roots = (
-            batch.select("parent")
-            .distinct()
-            .join(done.select(F.col("node").alias("parent")), "parent", "left_anti")
-            .select("parent", F.col("parent").alias("root"), F.lit(0).alias("depth"), F.array().cast("array<string>").alias("path"))
-        )
-        found = join_unique(batch, known.unionByName(roots), "parent").select(
-            "node",
-            "root",
-            F.when(F.col("depth") == CYCLE_DEPTH, F.lit(CYCLE_DEPTH)).otherwise(F.col("depth") + F.size("via") + 1).alias("depth"),
-            F.when(F.col("depth") != CYCLE_DEPTH, F.concat("via", F.array("parent"), "path")).alias("path"),
-        )
-        done = checkpoint(done.unionByName(found))
-    return done.join(on_cycle.withColumn("on_cycle", F.lit(True)), "node", "left").withColumn("on_cycle", F.coalesce("on_cycle", F.lit(False)))
 
 
 def descendants(resolved: DataFrame) -> DataFrame:

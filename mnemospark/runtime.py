@@ -1,4 +1,4 @@
-"""Small helpers about the running session: lineage, partitions and skew."""
+"""Small helpers about the running session."""
 
 from __future__ import annotations
 
@@ -7,11 +7,6 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key that holds more than this share of a table's rows is handled apart from the rest.
-#: At most 1 / HOT_SHARE keys can do so, which bounds what is broadcast for them.
-HOT_SHARE = 1 / 1000
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and cut its lineage.
 
@@ -29,27 +24,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
-    """The keys that hold more than ``share`` of the rows: at most ``1 / share`` rows, by counting."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    most = int(1 / share)
-    top = counts.orderBy(F.desc("__n"), key).limit(most)
-    total = counts.agg(F.sum("__n").alias("__total"))
-    return top.join(F.broadcast(total)).where(F.col("__n") > F.col("__total") * share).select(key)
-
-
-def join_unique(left: DataFrame, right: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
-    """Inner join on ``key`` where ``right`` has one row per key and ``left`` may be badly skewed.
-
-    Rows of the few hot keys meet their single right-hand row by a broadcast that is bounded by
-    ``1 / share`` rows; all other rows are shuffled. Null keys match nothing.
-    """
-    left = left.where(F.col(key).isNotNull())
-    hot = F.broadcast(hot_keys(left, key, share))
-    few = F.broadcast(right.join(hot, key, "left_semi"))
-    return left.join(hot, key, "left_semi").join(few, key).unionByName(left.join(hot, key, "left_anti").join(right, key))
-
-
 def squash(text: Column) -> Column:
     """Lower case without surrounding white space."""
     return F.lower(F.regexp_replace(text, r"^\s+|\s+$", ""))

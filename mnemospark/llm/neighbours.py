@@ -35,14 +35,14 @@ class TreeParams:
     """How trees are built and searched.
 
     factor: share of the reach that pruning honours; 1 is exact. leaf_rows: below this a set isn't split.
-    most_visits: a split must let a query skip at least this share of the two halves to be worth its while.
-    candidates: vantage points tried per split. sample_rows: bound of the sample that the routing tree is fitted to.
+    least_gain: a split is worth its while if it lets queries skip at least this share of what they could skip if none
+    came near the border. candidates: vantage points tried per split. sample_rows: bound of the sample that the routing tree is fitted to.
     """
 
     factor: float = 0.16
     shard_rows: int = 8192
     leaf_rows: int = 256
-    most_visits: float = 0.8
+    least_gain: float = 0.6
     candidates: int = 24
     sample_rows: int = 20_000
     probe_rows: int = 2_000
@@ -98,11 +98,10 @@ def _split(x: np.ndarray, margin: float, least: int, params: TreeParams, rng: np
                 inner = np.searchsorted(d, mu, "right") / n
                 if not 0 < inner < 1:
                     continue
-                both = (np.searchsorted(d, mu + margin) - np.searchsorted(d, mu - margin)) / n
                 visited = inner * np.searchsorted(d, mu + margin) / n + (1 - inner) * (1 - np.searchsorted(d, mu - margin) / n)
-                if best is None or visited < best[2]:
-                    best = (vantages[j], float(mu), float(visited), both)
-    return None if best is None else best[:3]
+                if 1 - visited >= params.least_gain * 2 * inner * (1 - inner) and (best is None or visited < best[2]):
+                    best = (vantages[j], float(mu), float(visited))
+    return best
 
 
 def build(x: np.ndarray, margin: float, most_rows: int, params: TreeParams, seed: int = 11) -> tuple[Node, int]:
@@ -116,7 +115,7 @@ def build(x: np.ndarray, margin: float, most_rows: int, params: TreeParams, seed
     def grow(rows: np.ndarray, depth: int) -> Node:
         nonlocal leaves
         found = _split(x[rows], margin, most_rows, params, rng) if len(rows) > most_rows and depth < 64 else None
-        if found is None or found[2] > params.most_visits:
+        if found is None:
             leaves += 1
             return Node(rows=rows, leaf=leaves - 1)
         vantage, mu, _ = found

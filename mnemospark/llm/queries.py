@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 from mnemospark.llm.canonical import is_blank, map_to_canonical
 from mnemospark.llm.components import connected_components
 from mnemospark.llm.cooccurrence import baskets_of, pair_association
+from mnemospark.llm.encoding import repair_encoding
+from mnemospark.llm.mixing import mix_report, mix_sources
 from mnemospark.llm.neighbours import most_similar
+from mnemospark.llm.packing import fill_report, pack
+from mnemospark.llm.pii import items_of_rows, redact
+from mnemospark.llm.tokens import with_token_counts
 from mnemospark.runtime import squash
 from mnemospark.sources.tables import table
 
@@ -20,6 +25,22 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("memory_id_a"), F.greatest("id", "neighbour").alias("memory_id_b")).distinct()
 
 
+def _free_texts(spark: SparkSession, folder: str) -> DataFrame:
+    memories = table(spark, folder, "memories").select(F.lit("content").alias("source_field"), F.col("id").alias("record_key"), F.col("content").alias("text"))
+    events = table(spark, folder, "memory_events").select(F.lit("query").alias("source_field"), F.col("id").cast("string").alias("record_key"), F.col("query").alias("text"))
+    return memories.unionByName(events).where("record_key is not null")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal items in memory contents and event queries."""
+    return items_of_rows(_free_texts(spark, folder))
+
+
+def p2_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts that hold personal items, with placeholders in their place."""
+    return redact(_free_texts(spark, folder))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of memories returned together at least 15 times and 5 times as often as chance would have it."""
     events = table(spark, folder, "memory_events").where("event_type = 'retrieved'")
@@ -44,7 +65,71 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return connected_components(links, "source_id", "target_id").select(F.col("member").alias("memory_id"), F.col("component").alias("group_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
+def _profiles(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    rows = table(spark, folder, "pack_limits").select("profile", "capacity").where("profile is not null and capacity > 0").distinct()
+    return [(r.profile, r.capacity) for r in rows.orderBy("profile").collect()]  # a short list that doesn't grow
+
+
+def _targets(spark: SparkSession, folder: str) -> list[tuple[str, float, int]]:
+    rows = table(spark, folder, "mix_targets").select("source", "target_share", "max_repeats").where("source is not null").distinct()
+    return [(r.source, r.target_share, r.max_repeats) for r in rows.orderBy("source").collect()]  # a short list that doesn't grow
+
+
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(with_token_counts(table(spark, folder, "documents").select("doc_id", "text")), _profiles(spark, folder))
+
+
+def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document's container for each capacity."""
+    return _packed(spark, folder)
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    return fill_report(_packed(spark, folder), _profiles(spark, folder))
+
+
+def _mixed(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_sources(with_token_counts(table(spark, folder, "documents").select("doc_id", "source", "text")), _targets(spark, folder))
+
+
+def p8_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of the mixture in order of output."""
+    return _mixed(spark, folder)
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of each source in the mixture."""
+    return mix_report(_mixed(spark, folder), _targets(spark, folder))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents read in the wrong encoding, with the hash of the restored text."""
+    found = repair_encoding(table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text"))
+    md5 = F.when(F.col("restored") == "", "").otherwise(F.md5(F.col("restored").cast("binary")))
+    return found.select(F.col("id").alias("doc_id"), md5.alias("text_md5"))
+
+
+def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """The restored texts; lost ones are left out."""
+    found = repair_encoding(table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return found.where("restored <> ''").select(F.col("id").alias("doc_id"), F.col("restored").alias("text"))
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_redacted": p2_redacted,
+    "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p7_packed": p7_packed,
+    "p7_fill": p7_fill,
+    "p8_mixed": p8_mixed,
+    "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_restored": p9_restored,
+}
 
 SQL = {
     "p1_found": """

@@ -114,7 +114,8 @@ def map_to_canonical(values: DataFrame, canon: DataFrame, min_score: float = MIN
         .select("token", "form")
         .distinct()
         .withColumn("d", _distance("token", "form"))
-        .where(F.col("d") <= MAX_EDITS)
+        # Long words that share such a string may be three edits apart, an exchange costing a deletion on either side.
+        .where(F.col("d") <= F.when(F.length("form") >= 8, MAX_EDITS + 1).otherwise(MAX_EDITS))
         .select("token", "form", (1 - F.col("d") / F.greatest(F.length("token"), F.length("form"))).alias("sim"))
     )
     start = F.greatest(F.lit(4), F.ceil(F.length("form") / 2), F.when(F.size("words") > 1, F.col("least")).otherwise(F.lit(0))).cast("int")

@@ -199,7 +199,7 @@ def within_budget(ranked: DataFrame, budget: int) -> DataFrame:
 
 def contradictions(ranked: DataFrame, edges: DataFrame) -> DataFrame:
     """(query_id, memory_a, memory_b): pairs of a query's results between which a link marks a contradiction."""
-    marked = edges.where(F.array_contains("flags", "contradiction") & (F.col("source_id") <> F.col("target_id")))
+    marked = edges.where(F.array_contains("flags", "contradiction") & (F.col("source_id") != F.col("target_id")))
     pairs = marked.select(F.least("source_id", "target_id").alias("memory_a"), F.greatest("source_id", "target_id").alias("memory_b")).where("memory_a is not null and memory_b is not null").distinct()
     hits = ranked.select("query_id", "memory_id").distinct()
     return pairs.join(hits.withColumnRenamed("memory_id", "memory_a"), "memory_a").join(hits.withColumnRenamed("memory_id", "memory_b"), ["query_id", "memory_b"]).select("query_id", "memory_a", "memory_b")

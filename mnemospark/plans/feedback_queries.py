@@ -11,6 +11,7 @@ from mnemospark.operators import feedback as B
 from mnemospark.operators.graph import distinct_edges
 from mnemospark.plans import parts as P
 from mnemospark.plans.parts import r6
+from mnemospark.sources.tables import table
 
 
 def _summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,8 +41,6 @@ def feedback_confidence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def feedback_edge_weights(spark: SparkSession, folder: str) -> DataFrame:
-    from mnemospark.sources.tables import table
-
     found = B.edge_weights_after(table(spark, folder, "memory_edges"), P.feedback(spark, folder))
     return found.select("id", "weight_before", r6("weight_after").alias("weight_after"))
 
@@ -51,29 +50,29 @@ def retrieval_burstiness(spark: SparkSession, folder: str) -> DataFrame:
     return B.burstiness(seen).select("memory_id", "events", r6("burstiness").alias("burstiness"))
 
 
-def _matched(spark: SparkSession, folder: str) -> DataFrame:
+def matched(spark: SparkSession, folder: str) -> DataFrame:
     return B.match_recalls(P.feedback(spark, folder), P.recalls(spark, folder))
 
 
 def feedback_matched(spark: SparkSession, folder: str) -> DataFrame:
-    return _matched(spark, folder).select("feedback_id", "recall_id", "query", r6("gap").alias("gap"))
+    return matched(spark, folder).select("feedback_id", "recall_id", "query", r6("gap").alias("gap"))
 
 
 def feedback_truth(spark: SparkSession, folder: str) -> DataFrame:
-    return B.ground_truth(_matched(spark, folder)).select("query", "memory_id", r6("rel").alias("rel"), "ratings")
+    return B.ground_truth(matched(spark, folder)).select("query", "memory_id", r6("rel").alias("rel"), "ratings")
 
 
 def feedback_disappointed(spark: SparkSession, folder: str) -> DataFrame:
     """Recalls none of whose ratings exceeds 0.2: a failure to rank if the top score was 0.1 or more, else a gap in the store."""
     top = F.get_json_object("context", "$.top_score").cast("double")
     meta = P.events(spark, folder).where("event_type = 'recall_meta'").select(F.col("id").alias("recall_id"), top.alias("top_score"))
-    worst = _matched(spark, folder).groupBy("recall_id").agg(F.max("utility").alias("best"), F.count(F.lit(1)).alias("ratings")).where("best <= 0.2")
+    worst = matched(spark, folder).groupBy("recall_id").agg(F.max("utility").alias("best"), F.count(F.lit(1)).alias("ratings")).where("best <= 0.2")
     return worst.join(meta, "recall_id").select("recall_id", "ratings", F.when(F.col("top_score") >= 0.1, "retrieval_failure").otherwise("coverage_gap").alias("miss"))
 
 
 def feedback_co_useful(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of memories that one recall returned and that were both rated 0.7 or more: of the first five of each recall."""
-    good = _matched(spark, folder).where("utility >= 0.7").groupBy("recall_id", "memory_id").agg(F.min("feedback_id").alias("first"))
+    good = matched(spark, folder).where("utility >= 0.7").groupBy("recall_id", "memory_id").agg(F.min("feedback_id").alias("first"))
     five = good.withColumn("at", F.row_number().over(Window.partitionBy("recall_id").orderBy("first"))).where("at <= 5")
     other = five.select("recall_id", F.col("memory_id").alias("memory_b"))
     return five.select("recall_id", F.col("memory_id").alias("memory_a")).join(other, "recall_id").where("memory_a < memory_b").groupBy("memory_a", "memory_b").agg(F.count(F.lit(1)).alias("recalls"))
@@ -102,7 +101,7 @@ def session_recency(spark: SparkSession, folder: str) -> DataFrame:
 
 def theme_refinements(spark: SparkSession, folder: str) -> DataFrame:
     """Words of useful queries that a memory's content has, but not its themes: at most three, in order of use."""
-    good = _matched(spark, folder).where("utility >= 0.6 and query is not null").select("memory_id", F.explode(words(F.col("query"))).alias("term")).where(F.length("term") >= 4)
+    good = matched(spark, folder).where("utility >= 0.6 and query is not null").select("memory_id", F.explode(words(F.col("query"))).alias("term")).where(F.length("term") >= 4)
     counted = good.groupBy("memory_id", "term").agg(F.count(F.lit(1)).alias("n"))
     mem = P.active(spark, folder).select(F.col("id").alias("memory_id"), words(F.col("content")).alias("w"), words(F.array_join(F.coalesce("themes", F.array().cast("array<string>")), " ")).alias("t"))
     new = counted.join(mem, "memory_id").where(F.array_contains("w", F.col("term")) & ~F.array_contains("t", F.col("term")))
@@ -112,8 +111,6 @@ def theme_refinements(spark: SparkSession, folder: str) -> DataFrame:
 
 def edges_rated(spark: SparkSession, folder: str) -> DataFrame:
     """Mean utility of the memories at the ends of each kind of link."""
-    from mnemospark.sources.tables import table
-
     rated = _summary(spark, folder).select("memory_id", "fb_mean")
     edges = distinct_edges(table(spark, folder, "memory_edges")).where("edge_type is not null")
     ends = edges.select(F.trim(F.lower("edge_type")).alias("kind"), F.explode(F.array("source_id", "target_id")).alias("memory_id"))

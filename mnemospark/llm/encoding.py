@@ -40,16 +40,18 @@ _QUOTED = re.compile(rf"(?<![^\s(\[])([{OPENING}])\s?([^\s{OPENING}{CLOSING}A-Za
 _WORD = re.compile(r"\S*[^\x00-\x7f]\S*|\S*&#?\w{2,8};\S*", re.ASCII)
 _SENTENCE = re.compile(r"(?<=[.!?;:])[ \t]+|\n+")
 _ENTITY = re.compile(r"&(#\d{2,6}|#x[0-9a-fA-F]{2,6}|[A-Za-z]{2,8});")
+_DIGITS = re.compile(r"[0-9]")
 _RUN = re.compile(r"[^\x00-\x7f]+")
 
 
 @dataclass(frozen=True)
 class RepairParams:
     """step_cost: price of an operation. least_gain: how much cheaper (in nats) the restored words of a sentence must be.
-    depth: operations in a row. expansions: texts that a search expands at most; with this depth no real one needs more."""
+    worst_step: how much worse than the start a text may be to be expanded. depth: operations in a row. expansions: texts that a search expands at most; with this depth no real one needs more."""
 
     step_cost: float = 2.0
     least_gain: float = 3.0
+    worst_step: float = 3.0
     depth: int = 4
     expansions: int = 40
 
@@ -95,6 +97,22 @@ OPERATIONS: dict[str, Callable[[str], str | None]] = {f"{a}>{b}": _operation(a,
 OPERATIONS["unescape"] = _unescape
 
 
+def neighbours(text: str) -> Iterator[tuple[str, str]]:
+    """(operation, text) of every operation that changes ``text``; of pages that give the same bytes the first counts."""
+    seen: set[bytes] = set()
+    for read in SINGLE_BYTE:
+        raw = _encode(text, read)
+        if raw is None or raw in seen:
+            continue
+        seen.add(raw)
+        for written in WRITTEN:
+            name = f"{read}>{written}"
+            if name in OPERATIONS and (new := _decode(raw, written)) is not None and new != text:
+                yield name, new
+    if (new := _unescape(text)) is not None and new != text:
+        yield "unescape", new
+
+
 def _cell(c: str) -> str:
     """Characters as the model tells them apart: ideographs and beyond by block, digits alike."""
     if c.isdigit() and c < "\x80":
@@ -141,9 +159,8 @@ class Repairer:
             _, _, path, state = heapq.heappop(heap)
             if len(path) >= self.params.depth:
                 continue
-            for name, operation in OPERATIONS.items():
-                new = operation(state)
-                if new is None or new == state or hash(new) in seen:
+            for name, new in neighbours(state):
+                if hash(new) in seen:
                     continue
                 seen.add(hash(new))
                 total = cost(new) + self.params.step_cost * (len(path) + 1)
@@ -151,11 +168,12 @@ class Repairer:
                     found[(*path, name)] = (total, new)
                 tick += 1
                 # A step that makes it much worse leads nowhere: undoing damage never adds implausible characters.
-                if total < start + 6:
+                if total < start + self.params.worst_step:
                     heapq.heappush(heap, (total, tick, (*path, name), new))
         return found
 
     def word(self, word: str) -> tuple[float, dict[tuple[str, ...], tuple[float, str]]]:
+        word = _DIGITS.sub("0", word)  # digits are alike to the model and to every operation
         if word not in self.known:
             if len(self.known) > 200_000:
                 self.known.clear()

@@ -44,7 +44,7 @@ def reciprocal_rank(rank: Column, k: float, weight: float) -> Column:
 def exploration(ewma: Column, count: Column, prior_mean: Column, prior_strength: Column, params: Scoring = SCORING) -> Column:
     """Factor 1 + c * standard deviation of the Beta posterior; without feedback that of the prior."""
     most = 1 / (2 * params.ewma_alpha - params.ewma_alpha**2)
-    seen = F.coalesce(F.least(count.cast("double"), F.lit(most)), F.lit(0.0))
+    seen = F.when(count.isNull(), 0.0).otherwise(F.least(count.cast("double"), F.lit(most)))
     mean = F.coalesce(ewma, F.lit(0.0))
     a = mean * seen + prior_mean * prior_strength
     b = (1 - mean) * seen + (1 - prior_mean) * prior_strength

@@ -116,12 +116,18 @@ def value_ranks(df: DataFrame, value: str) -> DataFrame:
     return upto.select(F.col("v").alias(value), "n", (F.col("before") + F.col("upto") - F.col("n") + (F.col("n") + 1) / 2.0).alias("avg_rank"))
 
 
+def correlation(x: str, y: str | Column) -> Column:
+    """Pearson's correlation; null where a column doesn't vary."""
+    y = F.col(y) if isinstance(y, str) else y
+    return F.try_divide(F.covar_pop(F.col(x), y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: n, Pearson and Spearman correlation of two columns; null for fewer than three rows."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
     ranked = rows.join(value_ranks(rows, x).select(x, F.col("avg_rank").alias("rx")), x).join(value_ranks(rows, y).select(y, F.col("avg_rank").alias("ry")), y)
     n = F.count(F.lit(1))
-    return ranked.agg(n.alias("n"), F.when(n >= 3, F.corr(x, y)).alias("pearson"), F.when(n >= 3, F.corr("rx", "ry")).alias("spearman"))
+    return ranked.agg(n.alias("n"), F.when(n >= 3, correlation(x, y)).alias("pearson"), F.when(n >= 3, correlation("rx", "ry")).alias("spearman"))
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -129,7 +135,7 @@ def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(score, F.col(label).cast("boolean").alias("y"))
     ranked = rows.join(value_ranks(rows, score).select(score, "avg_rank"), score)
     pos, neg = F.sum(F.col("y").cast("long")), F.sum((~F.col("y")).cast("long"))
-    got = ranked.agg(pos.alias("pos"), neg.alias("neg"), F.sum(F.when(F.col("y"), F.col("avg_rank"))).alias("ranks"), F.corr(score, F.col("y").cast("double")).alias("point_biserial"))
+    got = ranked.agg(pos.alias("pos"), neg.alias("neg"), F.sum(F.when(F.col("y"), F.col("avg_rank"))).alias("ranks"), correlation(score, F.col("y").cast("double")).alias("point_biserial"))
     return got.select("pos", "neg", F.when((F.col("pos") > 0) & (F.col("neg") > 0), (F.col("ranks") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * F.col("neg").cast("double"))).alias("auc"), "point_biserial")
 
 

@@ -143,7 +143,7 @@ SQL = {
     "feedback_prior": P.ctes(P.FB, PRIOR) + "SELECT round(prior_mean, 6) AS prior_mean, round(prior_strength, 6) AS prior_strength FROM prior",
     "feedback_exploration": P.ctes(P.MEM, P.FB, P.NOW, SUMMARY, PRIOR) + """SELECT memory_id, round(1 + 0.84::DOUBLE * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 6) AS factor FROM (
       SELECT id AS memory_id, coalesce(fb_ewma, 0.0::DOUBLE) * ess + prior_mean * prior_strength AS a, (1 - coalesce(fb_ewma, 0.0::DOUBLE)) * ess + (1 - prior_mean) * prior_strength AS b FROM (
-        SELECT act.id, fb_ewma, coalesce(least(fb_count::DOUBLE, 1 / (2 * 0.431::DOUBLE - 0.431::DOUBLE * 0.431::DOUBLE)), 0.0::DOUBLE) AS ess FROM act LEFT JOIN sm ON sm.memory_id = act.id), prior)""",
+        SELECT act.id, fb_ewma, CASE WHEN fb_count IS NULL THEN 0.0::DOUBLE ELSE least(fb_count::DOUBLE, 1 / (2 * 0.431::DOUBLE - 0.431::DOUBLE * 0.431::DOUBLE)) END AS ess FROM act LEFT JOIN sm ON sm.memory_id = act.id), prior)""",
     "feedback_confidence": P.ctes(P.MEM, P.FB, "so AS (SELECT memory_id, list(utility ORDER BY created_at NULLS FIRST, id) AS u FROM fb GROUP BY memory_id)")
     + f"""SELECT memory_id, round(c, 6) AS confidence_before, round(list_reduce(list_prepend(c, u), lambda a, x: CASE WHEN abs({_CLAMP} - a) > 0.001 THEN round({_CLAMP}, 4) ELSE a END), 4) AS confidence_after
       FROM (SELECT so.memory_id, u, coalesce(confidence, 0.5::DOUBLE) AS c FROM so JOIN mem ON mem.id = so.memory_id)""",

@@ -188,7 +188,7 @@ _FUSED = """fu AS (SELECT query_id, memory_id, sum(p) AS score FROM (SELECT quer
 _BASE = (P.MEM, P.REC, P.QRY, _TERMS, _INDEX, _KEYWORDS, _THEMES, _FUSED)
 _EXPLORED = """ex AS (SELECT query_id, memory_id, round(score * (1 + 0.84::DOUBLE * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))), 9) AS score FROM (
   SELECT query_id, memory_id, score, coalesce(fb_ewma, 0.0::DOUBLE) * ess + prior_mean * prior_strength AS a, (1 - coalesce(fb_ewma, 0.0::DOUBLE)) * ess + (1 - prior_mean) * prior_strength AS b FROM (
-    SELECT query_id, fu.memory_id, score, fb_ewma, coalesce(least(fb_count::DOUBLE, 1 / (2 * 0.431::DOUBLE - 0.431::DOUBLE * 0.431::DOUBLE)), 0.0::DOUBLE) AS ess FROM fu LEFT JOIN sm ON sm.memory_id = fu.memory_id), prior))"""
+    SELECT query_id, fu.memory_id, score, fb_ewma, CASE WHEN fb_count IS NULL THEN 0.0::DOUBLE ELSE least(fb_count::DOUBLE, 1 / (2 * 0.431::DOUBLE - 0.431::DOUBLE * 0.431::DOUBLE)) END AS ess FROM fu LEFT JOIN sm ON sm.memory_id = fu.memory_id), prior))"""
 _HEBBIAN = """seen AS (SELECT DISTINCT memory_id, query FROM memory_events WHERE event_type = 'retrieved' AND id IS NOT NULL AND memory_id IS NOT NULL AND query IS NOT NULL),
 tq AS (SELECT count(DISTINCT query) AS total FROM seen), cn AS (SELECT memory_id, count(*) AS n FROM seen GROUP BY memory_id),
 sd AS (SELECT query_id, memory_id AS seed FROM ex QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) <= 5),

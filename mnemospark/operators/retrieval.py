@@ -5,15 +5,18 @@ Every stage is a table keyed by (query_id, memory_id). Channels give 0-based ran
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.config import SCORING, Scoring
 from mnemospark.functions.scores import exploration, reciprocal_rank
 from mnemospark.functions.text import theme_words, words
-from mnemospark.functions.vectors import dot, norm
 from mnemospark.runtime import checkpoint
 
 #: Up to this many terms all must occur; of more, any.
@@ -81,20 +84,54 @@ def phrase_channel(queries: DataFrame, memories: DataFrame) -> DataFrame:
     return runs.where("found = n").groupBy("query_id", "memory_id").agg(F.min("at").cast("int").alias("at"))
 
 
+def _blocks(name: str, rows: int):
+    """Vectors of one length, up to ``rows`` of them, as one row: their ids and, in one piece of bytes, their unit vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, vectors = batch.column("id"), batch.column("vector")
+            sizes = np.asarray(pc.list_value_length(vectors))
+            for dim in np.unique(sizes):
+                at = np.flatnonzero(sizes == dim)
+                x = np.asarray(vectors.take(pa.array(at)).flatten(), dtype=np.float64).reshape(-1, dim)
+                length = np.linalg.norm(x, axis=1)
+                at, x = at[length > 0], x[length > 0] / length[length > 0, None]
+                for a in range(0, len(at), rows):
+                    part = ids.take(pa.array(at[a : a + rows]))
+                    lists = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part)
+                    yield pa.RecordBatch.from_arrays([lists, pa.array([x[a : a + rows].tobytes()], pa.binary()), pa.array([int(dim)], pa.int32())], [f"{name}_ids", name, f"{name}_dim"])
+
+    return run
+
+
+def _nearest(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                dim = batch.column("q_dim")[r].as_py()
+                q = np.frombuffer(batch.column("q")[r].as_buffer()).reshape(-1, dim)
+                v = np.frombuffer(batch.column("v")[r].as_buffer()).reshape(-1, dim)
+                distance = np.round(1 - q @ v.T, 9)
+                # All that are no farther than the k-th, so that ties are settled by id later on.
+                edge = np.partition(distance, min(k, distance.shape[1]) - 1, axis=1)[:, min(k, distance.shape[1]) - 1]
+                i, j = np.nonzero(distance <= edge[:, None])
+                yield pa.RecordBatch.from_arrays([batch.column("q_ids")[r].values.take(pa.array(i)), batch.column("v_ids")[r].values.take(pa.array(j)), pa.array(distance[i, j])], ["query_id", "id", "distance"])
+
+    return run
+
+
 def vector_channel(queries: DataFrame, vectors: DataFrame, k: int = 200) -> DataFrame:
-    """(query_id, id, distance, rank): the k vectors nearest by cosine to each query (query_id, vector).
+    """(query_id, id, distance, rank): the k vectors (id, vector) nearest by cosine to each query (query_id, vector).
 
-    A stated set of queries against all rows: the queries are collected into blocks of at most 64, each block visits
-    all rows of a partition, and only k rows per query and task leave it. Null and zero vectors, and those of another length, don't take part.
+    A stated set of queries against all rows, in blocks: up to 256 queries meet up to 2,048 vectors as one matrix product, and
+    about k rows a query leave it. Null and zero vectors don't take part, nor do those with a null in them, and a query meets only vectors of its length.
     """
-    unit = lambda c: F.transform(c, lambda x: x.cast("double") / norm(c))
-    asked = queries.where("vector is not null").where(norm(F.col("vector")) > 0).select("query_id", unit(F.col("vector")).alias("q"))
-    rows = vectors.where("vector is not null").where(norm(F.col("vector")) > 0).select("id", unit(F.col("vector")).alias("v"))
-    blocks = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(1024)))
-    blocks = blocks.groupBy("block").agg(F.collect_list(F.struct("query_id", "q")).alias("asked"))
-    spread = rows.repartition(F.col("id"))
-    near = spread.join(blocks).select("id", "v", F.explode("asked").alias("a")).where(F.size("v") == F.size("a.q"))
-    scored = near.select(F.col("a.query_id").alias("query_id"), "id", F.round(1 - dot(F.col("v"), F.col("a.q")), 9).alias("distance"))
+    clean = lambda df, c: df.where("vector is not null").where(~F.exists("vector", lambda x: x.isNull())).select(F.col(c).alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["id"]
+    asked = clean(queries, "query_id").mapInArrow(_blocks("q", 256), f"q_ids array<{kinds[0]}>, q binary, q_dim int")
+    rows = clean(vectors, "id").mapInArrow(_blocks("v", 2048), f"v_ids array<{kinds[1]}>, v binary, v_dim int")
+    pairs = rows.join(asked, F.col("q_dim") == F.col("v_dim"))
+    scored = pairs.repartition(F.xxhash64("v"), F.xxhash64("q")).mapInArrow(_nearest(k), f"query_id {kinds[0]}, id {kinds[1]}, distance double")
     return top_k(scored, "query_id", [F.col("distance"), F.col("id")], k)
 
 

@@ -64,3 +64,17 @@ def enriched(content: Column, category: Column, themes: Column, summary: Column)
         F.when(F.size(listed) > 0, F.concat(F.lit("Themes: "), F.array_join(listed, ", "))),
         F.when(summary != "", F.concat(F.lit("Summary: "), summary)),
     )
+
+
+def full_text(category: Column, summary: Column, content: Column, themes: Column, id: Column) -> Column:
+    """Three lines: category and summary, content, the short id with all themes."""
+    listed = F.coalesce(themes, F.array().cast("array<string>"))
+    tail = F.when(F.size(listed) > 0, F.concat(F.lit(" ("), F.array_join(listed, ", "), F.lit(")"))).otherwise("")
+    head = F.concat(F.lit("**["), category, F.lit("]** "), F.coalesce(F.nullif(summary, F.lit("")), F.lit("(no summary)")))
+    return F.concat_ws("\n", head, F.concat(F.lit("  "), content), F.concat(F.lit("  ID: "), F.substring(id, 1, 8), tail))
+
+
+def auto_summary(content: Column, tokens: Column) -> Column:
+    """For short contents (under 50 tokens) the first sentence, or the first 80 characters if that is longer; else null."""
+    first = F.regexp_extract(content, r"^[^.!?\n]*[.!?]?", 0)
+    return F.when(tokens < 50, F.when(F.length(first) <= 80, F.trim(first)).otherwise(F.substring(content, 1, 80)))

@@ -145,3 +145,25 @@ def newest_per_topic(memories: DataFrame, n: int = 2) -> DataFrame:
     """The n newest deleted memories of each topic (what is kept of a superseded chain), with their place from 1."""
     order = Window.partitionBy("topic_id").orderBy(F.desc("created_at"), "id")
     return memories.where("status = 'deleted' and topic_id is not null").withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+
+
+def near_duplicates(cosines: DataFrame, memories: DataFrame, most: float = 0.15) -> DataFrame:
+    """(loser, winner, distance): active pairs (low, high, cosine) of one category within the distance; higher priority wins.
+
+    Ties go to the smaller id. Of several winners over one memory the nearest counts. Equal vectors are pairs, too.
+    """
+    live = memories.where(ACTIVE).select("id", "category", "base_priority")
+    a = live.select(F.col("id").alias("low"), F.col("category"), F.col("base_priority").alias("pa"))
+    b = live.select(F.col("id").alias("high"), "category", F.col("base_priority").alias("pb"))
+    close = cosines.withColumn("distance", F.round(1 - F.col("cosine"), 6)).where(F.col("distance") <= most)
+    both = close.join(a, "low").join(b, ["high", "category"])
+    second = F.coalesce("pb", F.lit(0)) > F.coalesce("pa", F.lit(0))
+    sided = both.select(F.when(second, F.col("low")).otherwise(F.col("high")).alias("loser"), F.when(second, F.col("high")).otherwise(F.col("low")).alias("winner"), "distance")
+    return sided.groupBy("loser").agg(F.min(F.struct("distance", "winner")).alias("m")).select("loser", "m.winner", "m.distance")
+
+
+def changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """(key, before, after, delta): counts per value of a column in two tables; a value that one lacks counts 0 there."""
+    counted = lambda df, name: df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+    both = counted(before, "before").join(counted(after, "after"), key, "full_outer").fillna(0, ["before", "after"])
+    return both.withColumn("delta", F.col("after") - F.col("before"))

@@ -127,8 +127,13 @@ def decay_fit(spark: SparkSession, folder: str) -> DataFrame:
     return per.where("bins >= 3").select("category", "bins", "ratings", r6(-F.col("slope")).alias("rate"))
 
 
+def rating_isotonic(spark: SparkSession, folder: str) -> DataFrame:
+    """How often a memory of a given score is found useful, as a non-decreasing step function."""
+    return M.isotonic(_rated(spark, folder).withColumn("used", F.col("utility") >= 0.5), "score", "used")
+
+
 QUERIES = {f.__name__: f for f in (
-    quality_binary, quality_recall, quality_ndcg_length, quality_ndcg_packing, quality_graded_recall, quality_at_budgets, quality_cliff, quality_confusions,
+    rating_isotonic, quality_binary, quality_recall, quality_ndcg_length, quality_ndcg_packing, quality_graded_recall, quality_at_budgets, quality_cliff, quality_confusions,
     rating_correlation, rating_auc, rating_thresholds, rating_quadrants, rating_mean_interval, rating_sample, text_overlap, decay_fit,
 )}
 

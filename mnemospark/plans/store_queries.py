@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.functions.scores import days_between, effective_priority
-from mnemospark.functions.text import SECRETS, compact_line, enriched, normal_themes, strip_secrets
+from mnemospark.functions.text import SECRETS, auto_summary, compact_line, enriched, full_text, normal_themes, strip_secrets
 from mnemospark.operators import maintenance as M
+from mnemospark.operators.graph import linked_cosines
 from mnemospark.plans import parts as P
 from mnemospark.plans.parts import r6
 from mnemospark.sources.tables import table
@@ -122,7 +123,39 @@ def superseded_kept(spark: SparkSession, folder: str) -> DataFrame:
     return M.newest_per_topic(P.memories(spark, folder)).select("topic_id", "id", "place")
 
 
+def format_full(spark: SparkSession, folder: str) -> DataFrame:
+    text = full_text(F.col("category"), F.col("summary"), F.col("content"), F.col("themes"), F.col("id"))
+    return P.active(spark, folder).select("id", F.md5(text.cast("binary")).alias("text_md5"))
+
+
+def summaries_made(spark: SparkSession, folder: str) -> DataFrame:
+    """What short memories without a summary would be summarised as."""
+    rows = P.memories(spark, folder).where("summary is null and content <> ''")
+    return rows.select("id", auto_summary(F.col("content"), F.coalesce("token_count", F.ceil(F.length("content") / 4).cast("int"))).alias("summary")).where("summary is not null")
+
+
+def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Linked memories of one category that say nearly the same, and which of each two would stay."""
+    cosines = linked_cosines(table(spark, folder, "memory_edges"), table(spark, folder, "memory_vec"))
+    return M.near_duplicates(cosines, P.memories(spark, folder)).select("loser", "winner", F.round("distance", 5).alias("distance"))
+
+
+def event_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Events by type up to the last thirty days, and in them."""
+    dated = P.events(spark, folder).where("created_at is not null").crossJoin(F.broadcast(P.now(spark, folder)))  # one row
+    recent = days_between(F.col("now"), F.col("created_at")) <= 30
+    return M.changes(dated.where(~recent), dated.where(recent), "event_type")
+
+
+def label_bins(spark: SparkSession, folder: str) -> DataFrame:
+    """Ratings by bands of utility."""
+    edges = (0.1, 0.3, 0.5, 0.7, 0.9)
+    bin_ = sum(((F.col("utility") >= e).cast("int") for e in edges), F.lit(0))
+    return P.feedback(spark, folder).groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("ratings"), r6(F.avg("utility")).alias("mean"))
+
+
 QUERIES = {f.__name__: f for f in (
+    format_full, summaries_made, near_duplicates, event_changes, label_bins,
     stats_by_status, stats_rollup, stats_overview, stats_top_recalled, stats_event_types, stats_feedback, decay_priority, id_prefixes, format_compact, embed_text,
     secrets_stripped, themes_normalised, themes_counted, themes_variants, themes_quality, events_archived, pending_stale, source_confidence, similarity_buckets,
     topics_health, store_health, batches_by_topic, superseded_kept,
@@ -143,6 +176,18 @@ def _redacted(text: str) -> str:
 
 
 SQL = {
+    "format_full": P.ctes(P.MEM, "t AS (SELECT *, coalesce(themes, []::VARCHAR[]) AS th FROM act)") + """SELECT id, md5(concat_ws(chr(10), '**[' || category || ']** ' || coalesce(nullif(summary, ''), '(no summary)'), '  ' || content,
+      '  ID: ' || left(id, 8) || CASE WHEN len(th) > 0 THEN ' (' || coalesce(array_to_string(th, ', '), '') || ')' ELSE '' END)) AS text_md5 FROM t""",
+    "summaries_made": P.ctes(P.MEM, r"f AS (SELECT id, content, coalesce(token_count, ceil(length(content) / 4)::INTEGER) AS n, regexp_extract(content, '^[^.!?\n]*[.!?]?') AS s FROM mem WHERE summary IS NULL AND content <> '')")
+    + "SELECT id, CASE WHEN length(s) <= 80 THEN trim(s, ' ') ELSE substring(content, 1, 80) END AS summary FROM f WHERE n < 50",
+    "near_duplicates": P.ctes(P.MEM, "pr AS (SELECT DISTINCT least(source_id, target_id) AS low, greatest(source_id, target_id) AS high FROM memory_edges WHERE source_id IS NOT NULL AND target_id IS NOT NULL AND source_id <> target_id)",
+      "vc AS (SELECT memory_id, any_value(embedding) AS e FROM memory_vec WHERE len(embedding) = 384 AND memory_id IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY memory_id)",
+      """c AS (SELECT low, high, round(1 - list_cosine_similarity(a.e::DOUBLE[], b.e::DOUBLE[]), 6) AS d, coalesce(x.base_priority, 0) AS pa, coalesce(y.base_priority, 0) AS pb FROM pr JOIN vc a ON a.memory_id = low JOIN vc b ON b.memory_id = high
+        JOIN act x ON x.id = low JOIN act y ON y.id = high AND x.category = y.category)""")
+    + "SELECT loser, arg_min(winner, (d, winner)) AS winner, round(min(d), 5) AS distance FROM (SELECT CASE WHEN pb > pa THEN low ELSE high END AS loser, CASE WHEN pb > pa THEN high ELSE low END AS winner, d FROM c WHERE d <= 0.15) GROUP BY loser",
+    "event_changes": P.ctes(P.EVT, P.NOW) + f"""SELECT event_type, b AS before, a AS after, a - b AS delta FROM (SELECT event_type, count(*) FILTER (NOT recent) AS b, count(*) FILTER (recent) AS a FROM (
+      SELECT event_type, {P.DAYS.format('now', 'created_at')} <= 30 AS recent FROM evt, clock WHERE created_at IS NOT NULL) GROUP BY event_type)""",
+    "label_bins": P.ctes(P.FB) + "SELECT ((utility >= 0.1)::INTEGER + (utility >= 0.3)::INTEGER + (utility >= 0.5)::INTEGER + (utility >= 0.7)::INTEGER + (utility >= 0.9)::INTEGER)::INTEGER AS bin, count(*) AS ratings, round(avg(utility), 6) AS mean FROM fb GROUP BY bin",
     "stats_by_status": P.ctes(P.MEM) + "SELECT status, category, count(*) AS memories FROM mem GROUP BY ALL",
     "stats_rollup": P.ctes(P.MEM) + "SELECT status, category, count(*) AS memories, coalesce(sum(token_count), 0)::BIGINT AS tokens FROM mem GROUP BY ROLLUP (status, category)",
     "stats_overview": P.ctes(P.MEM, P.NOW, P.RATED) + f"""SELECT count(*) AS active, coalesce(sum(token_count), 0)::BIGINT AS tokens,

@@ -37,13 +37,20 @@ OPENING, CLOSING = "“„\"'`«‘‹‚", "”“\"'`»’›‘"
 
 #: A quoted piece of at most this many characters, without letters of its own around it, is an example and no damage.
 _QUOTED = re.compile(rf"(?<![^\s(\[])([{OPENING}])\s?([^\s{OPENING}{CLOSING}A-Za-z]{{1,8}}[a-zà-ÿ]{{0,12}})\s?([{CLOSING}])(?![^\s.,;:!?)\]])")
-_WORD = re.compile(r"\S*[^\x00-\x7f]\S*|\S*&#?\w{2,8};\S*", re.ASCII)
+_WORD = re.compile(r"\S+", re.ASCII)
 _SENTENCE = re.compile(r"(?<=[.!?;:])[ \t]+|\n+")
 _ENTITY = re.compile(r"&(#\d{2,6}|#x[0-9a-fA-F]{2,6}|[A-Za-z]{2,8});")
 _DIGITS = re.compile(r"[0-9]")
 _RUN = re.compile(r"[^\x00-\x7f]+")
 
 
+def odd_words(text: str) -> list[str]:
+    """The words of a text that have a character beyond ASCII or an entity; only ASCII white space parts words."""
+    if text.isascii() and "&" not in text:
+        return []
+    return [w for w in _WORD.findall(text) if not w.isascii() or _ENTITY.search(w)]
+
+
 @dataclass(frozen=True)
 class RepairParams:
     """step_cost: price of an operation. least_gain: how much cheaper (in nats) the restored words of a sentence must be.
@@ -130,17 +137,34 @@ def pairs_of(word: str) -> Iterator[str]:
         last = c
 
 
+class _Cells(dict):
+    """Each character's cell, worked out once."""
+
+    def __missing__(self, c: str) -> str:
+        self[c] = _cell(c)
+        return self[c]
+
+
 class Plausibility:
     """Cost of a word by the corpus' counts of character pairs."""
 
     def __init__(self, counts: dict[str, int]) -> None:
-        self.counts = counts
-        self.total = math.log(sum(counts.values()) + 1.0)
+        total = math.log(sum(counts.values()) + 1.0)
+        self.pair = {p: total - math.log(n + 0.05) for p, n in counts.items()}
+        self.unseen = total - math.log(0.05)
+        self.cells = _Cells()
 
     def cost(self, word: str) -> float:
-        found = sum(self.total - math.log(self.counts.get(p, 0) + 0.05) for p in pairs_of(word))
-        # Control characters and replacement characters are in no proper text, however common here.
-        return found + 12.0 * sum(1 for c in word if "\x7f" <= c <= "\x9f" or c == LOST)
+        pair, cells, unseen, found, last = self.pair, self.cells, self.unseen, 0.0, " "
+        for c in word + " ":
+            # Control characters and replacement characters are in no proper text, however common here.
+            if "\x7f" <= c <= "\x9f" or c == LOST:
+                found += 12.0
+            c = cells[c]
+            if c > "\x7f" or last > "\x7f":
+                found += pair.get(last + c, unseen)
+            last = c
+        return found
 
 
 class Repairer:
@@ -200,7 +224,7 @@ class Repairer:
         parts.append(bare[at:])
         damaged: dict[int, list[str]] = {}
         for i in range(0, len(parts), 2):
-            words = _WORD.findall(parts[i])
+            words = odd_words(parts[i])
             if words and self._gain(words) >= self.params.least_gain:
                 damaged[i] = words
         if not damaged:
@@ -224,7 +248,7 @@ class Repairer:
         return re.sub("\x00(\\d+)\x00", lambda m: hidden[int(m.group(1))], fixed)
 
     def _cost(self, text: str) -> float:
-        return sum(self.model.cost(w) for w in _WORD.findall(text))
+        return sum(self.model.cost(w) for w in odd_words(text))
 
     def _gain(self, words: list[str]) -> float:
         """How much cheaper the words get, each by its own best path."""
@@ -263,7 +287,7 @@ class Repairer:
 
         If some runs can be restored and others are no text in either form, bytes of theirs were dropped.
         """
-        path = self._best(sorted(set(_WORD.findall(text)))) or next((p for p in (("cp1252>utf-8",),) if any(self._apply(r, p) for r in _RUN.findall(text))), None)
+        path = self._best(sorted(set(odd_words(text)))) or next((p for p in (("cp1252>utf-8",),) if any(self._apply(r, p) for r in _RUN.findall(text))), None)
         if path is None:
             return None, False
         done, broken = False, False
@@ -286,11 +310,10 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words: Counter = Counter()
     for batch in batches:
         for text in batch.column("text").to_pylist():
-            words.update(_WORD.findall(text))
+            words.update(odd_words(text))
         for w, n in words.items():
-            if len(w) <= 60:
-                for p in pairs_of(w):
-                    counts[p] += n
+            for p in pairs_of(w):
+                counts[p] += n
         words.clear()
     yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["pair", "n"])
 

@@ -197,7 +197,7 @@ def sloppy(raw: bytes, page: str) -> str:
 def repairer():
     counts = Counter()
     for t in TEXTS * 40:
-        for w in E._WORD.findall(t):
+        for w in E.odd_words(t):
             counts.update(E.pairs_of(w))
     return E.Repairer(E.Plausibility(counts), E.RepairParams())
 

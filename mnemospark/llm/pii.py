@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -311,20 +312,42 @@ def find_items(texts: DataFrame) -> DataFrame:
     spark = texts.sparkSession
     table = spark.createDataFrame(scores, "kind string, pattern long, p double")
     sure = found.join(F.broadcast(table), ["kind", "pattern"]).where("p >= 0.5").drop("pattern")
-    # Candidates of a text that touch each other form a short run; the best of a run is kept, then those clear of it.
-    return sure.groupBy("key").applyInArrow(_settle, "key string, kind string, start int, stop int, item string")
+    # A text's candidates come together and in turn, so that each task holds those of one text at a time.
+    kind = "key string, kind string, start int, stop int, item string"
+    return sure.repartition("key").sortWithinPartitions("key").mapInArrow(_settle, kind)
 
 
-def _settle(group: pa.Table) -> pa.Table:
-    rows = sorted(group.to_pylist(), key=lambda r: (-round(r["p"], 3), r["start"] - r["stop"], TYPES.index(r["kind"]), r["start"]))
+def _clear(rows: list[dict]) -> list[dict]:
+    """Of one text's candidates those that stay: the more certain, then the longer, then the first by type, none overlapping."""
     taken: list[dict] = []
-    spans: list[tuple[int, int]] = []
-    for r in rows:
-        if all(r["stop"] <= a or r["start"] >= b for a, b in spans):
-            spans.append((r["start"], r["stop"]))
-            taken.append({k: r[k] for k in ("key", "kind", "start", "stop", "item")})
-    schema = pa.schema([("key", pa.string()), ("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("item", pa.string())])
-    return pa.Table.from_pylist(taken, schema)
+    starts: list[int] = []
+    stops: list[int] = []
+    for r in sorted(rows, key=lambda r: (-round(r["p"], 3), r["start"] - r["stop"], TYPES.index(r["kind"]), r["start"])):
+        at = bisect.bisect_left(starts, r["start"])
+        if (at == 0 or stops[at - 1] <= r["start"]) and (at == len(starts) or starts[at] >= r["stop"]):
+            starts.insert(at, r["start"])
+            stops.insert(at, r["stop"])
+            taken.append(r)
+    return taken
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ("key", "kind", "start", "stop", "item")
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
+
+    def out(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds)], list(names))
+
+    held: list[dict] = []
+    for batch in batches:
+        done: list[dict] = []
+        for r in batch.to_pylist():
+            if held and held[0]["key"] != r["key"]:
+                done += _clear(held)
+                held = []
+            held.append(r)
+        yield out(done)
+    yield out(_clear(held))
 
 
 def text_key(column: str) -> Column:

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.config import SCORING
+from mnemospark.functions.scores import days_between
 from mnemospark.operators import graph as G
 from mnemospark.operators import retrieval as R
+from mnemospark.operators.arrivals import arrival_outcomes
 from mnemospark.operators.feedback import beta_prior, feedback_summary
 from mnemospark.plans import parts as P
 from mnemospark.plans.feedback_queries import MATCHED, PRIOR, SUMMARY, matched
@@ -166,8 +168,17 @@ def vectors_unindexed(spark: SparkSession, folder: str) -> DataFrame:
     return gone.unionByName(live.join(usable, "memory_id", "left_anti").withColumn("problem", F.lit("no_vector")))
 
 
+def arrivals(spark: SparkSession, folder: str) -> DataFrame:
+    """What becomes of the memories of the newest week, held against all that came before each."""
+    live = P.active(spark, folder)
+    newest = live.agg(F.max("created_at").alias("last"))
+    week = live.crossJoin(F.broadcast(newest)).where(days_between(F.col("last"), F.col("created_at")) < 7)  # one row
+    found = arrival_outcomes(checkpoint(week.select("id", "category", "base_priority", "created_at")), live, G.first_vectors(table(spark, folder, "memory_vec")))
+    return found.select("id", "outcome", "other", F.round("distance", 5).alias("distance"))
+
+
 QUERIES = {f.__name__: f for f in (
-    search_keywords, search_themes, search_phrases, search_idf, search_vectors, recall_fused, recall_explored, recall_hebbian, recall_full, recall_contradictions, activation_spread,
+    arrivals, search_keywords, search_themes, search_phrases, search_idf, search_vectors, recall_fused, recall_explored, recall_hebbian, recall_full, recall_contradictions, activation_spread,
     link_degrees, link_two_hops, link_dangling, link_candidates, link_cosines, link_diversity, link_shadows, link_betweenness, vectors_unindexed,
 )}
 
@@ -220,6 +231,11 @@ _COS = """vc AS (SELECT memory_id, any_value(embedding) AS e FROM memory_vec WHE
 co AS (SELECT low, high, list_cosine_similarity(a.e::DOUBLE[], b.e::DOUBLE[]) AS cosine FROM pr JOIN vc a ON a.memory_id = low JOIN vc b ON b.memory_id = high)"""
 
 SQL = {
+    "arrivals": P.ctes(P.MEM, "vc AS (SELECT memory_id, any_value(embedding)::DOUBLE[] AS e FROM memory_vec WHERE len(embedding) = 384 AND memory_id IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY memory_id)",
+      "wk AS (SELECT * FROM act WHERE (SELECT epoch_us(max(created_at)) FROM act) - epoch_us(created_at) < 7 * 86400000000)",
+      "k AS (SELECT w.id, a.id AS other, round(1 - list_cosine_similarity(x.e, y.e), 9) AS d, w.category = a.category AND a.created_at < w.created_at AS ok, w.base_priority AS p, a.base_priority AS q FROM wk w JOIN vc x ON x.memory_id = w.id, act a JOIN vc y ON y.memory_id = a.id QUALIFY row_number() OVER (PARTITION BY w.id ORDER BY d, a.id) <= 21)",
+      "n AS (SELECT id, min((d, other, p, q)) AS n FROM k WHERE ok AND other <> id GROUP BY id)")
+    + """SELECT wk.id, CASE WHEN n.n[1] < 0.1 AND n.n[3] > n.n[4] THEN 'superseded' WHEN n.n[1] < 0.1 THEN 'dedup_rejected' ELSE 'inserted' END AS outcome, n.n[2] AS other, round(n.n[1], 5) AS distance FROM wk LEFT JOIN n ON n.id = wk.id""",
     "search_keywords": P.ctes(P.MEM, P.REC, P.QRY, _TERMS, _INDEX, _KEYWORDS) + "SELECT query_id, memory_id, round(bm25, 6) AS bm25, rank::INTEGER AS rank FROM kw",
     "search_themes": P.ctes(P.MEM, P.REC, P.QRY, _TERMS, _THEMES) + "SELECT query_id, memory_id, overlap, rank::INTEGER AS rank FROM th",
     "search_phrases": P.ctes(P.MEM, P.REC, P.QRY, f"w AS (SELECT id, {P.WORDS.format('content')} AS w FROM act WHERE content IS NOT NULL)", f"q AS (SELECT query_id, {P.WORDS.format('query')} AS w FROM qry)")

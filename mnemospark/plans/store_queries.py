@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from mnemospark.functions.scores import days_between, effective_priority
 from mnemospark.functions.text import SECRETS, auto_summary, compact_line, enriched, full_text, normal_themes, strip_secrets
 from mnemospark.operators import maintenance as M
-from mnemospark.operators.graph import linked_cosines
+from mnemospark.operators.graph import first_vectors
+from mnemospark.operators.nearest import nearest_before
 from mnemospark.plans import parts as P
 from mnemospark.plans.parts import r6
 from mnemospark.sources.tables import table
@@ -135,9 +136,13 @@ def summaries_made(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    """Linked memories of one category that say nearly the same, and which of each two would stay."""
-    cosines = linked_cosines(table(spark, folder, "memory_edges"), table(spark, folder, "memory_vec"))
-    return M.near_duplicates(cosines, P.memories(spark, folder)).select("loser", "winner", F.round("distance", 5).alias("distance"))
+    """Active memories that say nearly the same as one of their category that would stay, linked or not, and the nearest such."""
+    live = P.active(spark, folder)
+    vectors = first_vectors(table(spark, folder, "memory_vec")).select(F.col("memory_id").alias("id"), F.col("embedding").alias("vector"))
+    rows = live.select("id", F.col("category").alias("kind"), (-F.coalesce("base_priority", F.lit(0))).alias("place")).join(vectors, "id")
+    near = nearest_before(rows, ties=True, least=0.849, digits=6)  # a little under the similarity of distance 0.15, which is rounded
+    pairs = near.select(F.least("id", "other").alias("low"), F.greatest("id", "other").alias("high"), "cosine")
+    return M.near_duplicates(pairs, P.memories(spark, folder)).select("loser", "winner", F.round("distance", 5).alias("distance"))
 
 
 def event_changes(spark: SparkSession, folder: str) -> DataFrame:

@@ -15,6 +15,7 @@ from mnemospark.operators import feedback as B
 from mnemospark.operators import maintenance as M
 from mnemospark.operators import metrics as Q
 from mnemospark.operators import retrieval as R
+from mnemospark.operators.nearest import nearest_before
 
 T0 = dt.datetime(2025, 1, 1)
 
@@ -149,3 +150,14 @@ def test_bootstrap_covers_the_mean(spark):
     df = spark.range(500).select(F.col("id").alias("key"), (F.col("id") % 10).cast("double").alias("v"))
     got = Q.bootstrap_mean(df, "v").first()
     assert got.low < 4.5 < got.high and got.high - got.low < 1.2
+
+
+def test_nearest_that_ranks_before_needs_no_link(spark):
+    v = [1.0] * 384
+    w = [1.0] * 380 + [0.9] * 4
+    far = [1.0, -1.0] * 192
+    rows = [("a", "semantic", 3, v), ("b", "semantic", 5, w), ("c", "semantic", 3, far), ("d", "episodic", 9, v), ("e", "semantic", 3, v)]
+    df = spark.createDataFrame([(i, c, -p, x) for i, c, p, x in rows], "id string, kind string, place long, vector array<float>")
+    near = nearest_before(df, ties=True, least=0.849, digits=6).collect()
+    assert {r.id: r.other for r in near} == {"a": "b", "e": "a"}
+    assert {r.id: r.other for r in nearest_before(df).collect()} == {"a": "b", "c": "b", "e": "b"}

@@ -6,23 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.config import MAINTENANCE, Maintenance
-from mnemospark.operators.retrieval import vector_channel
+from mnemospark.operators.nearest import nearest_before
 
 
-def arrival_outcomes(arrivals: DataFrame, store: DataFrame, vectors: DataFrame, k: int = 20, params: Maintenance = MAINTENANCE) -> DataFrame:
-    """(id, outcome, other, distance) for each arrival (id, category, base_priority, created_at).
+def arrival_outcomes(store: DataFrame, vectors: DataFrame, params: Maintenance = MAINTENANCE) -> DataFrame:
+    """(id, outcome, other, distance) for each memory of the store (id, category, base_priority, created_at) as it arrived.
 
-    Of an arrival's k nearest memories in all the store those of its category that came before it count. If the nearest
+    It is held against the memories of its category that came before it, wherever they stand among its nearest today. If the nearest
     is closer than the threshold, the one of higher priority stays: the arrival supersedes it, or is rejected as a repeat. All others
-    are inserted, with the nearest one if there is any. Arrivals of one batch see each other in order of time. Arrivals without
-    a usable vector (memory_id, embedding) are inserted.
+    are inserted, with the nearest one if there is any. Arrivals of one moment don't see each other. Arrivals without
+    a usable vector (memory_id, embedding), a category or a time are inserted.
     """
-    asked = arrivals.select(F.col("id").alias("memory_id")).join(vectors, "memory_id").select(F.col("memory_id").alias("query_id"), F.col("embedding").alias("vector"))
-    near = vector_channel(asked, store.select(F.col("id").alias("memory_id")).join(vectors, "memory_id").select(F.col("memory_id").alias("id"), F.col("embedding").alias("vector")), k + 1)
-    traits = store.select(F.col("id").alias("other"), F.col("category").alias("other_category"), F.col("base_priority").alias("other_priority"), F.col("created_at").alias("other_created"))
-    known = near.select(F.col("query_id").alias("id"), F.col("id").alias("other"), "distance").join(arrivals.select("id", "category", "base_priority", "created_at"), "id").join(traits, "other")
-    older = known.where((F.col("other") != F.col("id")) & (F.col("category") == F.col("other_category")) & (F.col("other_created") < F.col("created_at")))
-    nearest = older.groupBy("id").agg(F.min(F.struct("distance", "other", "base_priority", "other_priority")).alias("n"))
-    close = F.col("n.distance") < params.dedup_distance
-    outcome = F.when(close & (F.col("n.base_priority") > F.col("n.other_priority")), "superseded").when(close, "dedup_rejected").otherwise("inserted")
-    return arrivals.select("id").join(nearest, "id", "left").select("id", outcome.alias("outcome"), F.col("n.other").alias("other"), F.col("n.distance").alias("distance"))
+    rows = store.select("id", F.col("category").alias("kind"), F.unix_micros(F.col("created_at").cast("timestamp")).alias("place"))
+    near = nearest_before(rows.join(vectors.select(F.col("memory_id").alias("id"), F.col("embedding").alias("vector")), "id"))
+    traits = store.select(F.col("id").alias("other"), F.col("base_priority").alias("other_priority"))
+    nearest = near.select("id", "other", F.round(1 - F.col("cosine"), 9).alias("distance")).join(traits, "other")
+    close = F.col("distance") < params.dedup_distance
+    outcome = F.when(close & (F.col("base_priority") > F.col("other_priority")), "superseded").when(close, "dedup_rejected").otherwise("inserted")
+    return store.select("id", "base_priority").join(nearest, "id", "left").select("id", outcome.alias("outcome"), "other", "distance")

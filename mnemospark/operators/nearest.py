@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 SLACK = 4e-6
 
 
-def _dealt(blocks: int, dim: int):
-    """Each row once for every block that its own meets, vectors as bytes, two a number where halves lose nothing."""
+def _dealt(blocks: dict[str, int], dim: int):
+    """Each row once for every block of its kind, which its own meets; vectors as bytes, two a number where halves lose nothing."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -25,10 +25,13 @@ def _dealt(blocks: int, dim: int):
                 half = flat.astype(np.float16)
             fits = (half.astype(np.float32) == flat).all(axis=1)
             packed = pa.array([half[i].tobytes() if fits[i] else flat[i].tobytes() for i in range(len(flat))], pa.binary())
-            block = np.asarray(batch.column("block"), dtype=np.int64)
-            for other in range(blocks):
-                low, high = np.minimum(block, other), np.maximum(block, other)
-                yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(low), pa.array(high), pa.array(block == low), batch.column("id"), batch.column("place"), packed], ["kind", "low", "high", "first", "id", "place", "packed"])
+            most = np.array([blocks[k] for k in batch.column("kind").to_pylist()])
+            block = np.asarray(batch.column("hash"), dtype=np.int64) % most
+            for other in range(most.max()):
+                take = np.flatnonzero(other < most)
+                low, high = np.minimum(block, other)[take], np.maximum(block, other)[take]
+                rest = [pa.array(low), pa.array(high), pa.array(block[take] == low), *(c.take(pa.array(take)) for c in (batch.column("id"), batch.column("place"), packed))]
+                yield pa.RecordBatch.from_arrays([batch.column("kind").take(pa.array(take)), *rest], ["kind", "low", "high", "first", "id", "place", "packed"])
 
     return deal
 
@@ -125,23 +128,24 @@ def _compared(ties: bool, least: float, digits: int, dim: int):
     return compare
 
 
-def nearest_before(rows: DataFrame, ties: bool = False, least: float = -1.0, digits: int = 9, block_rows: int = 16_384, dim: int = 384) -> DataFrame:
+def nearest_before(rows: DataFrame, ties: bool = False, least: float = -1.0, digits: int = 9, block_rows: int = 24_576, dim: int = 384) -> DataFrame:
     """(id, other, cosine): for each row (id, kind, place, vector) the most similar row of its kind with a smaller place.
 
     Every two rows of a kind are compared and the condition holds before the nearest is chosen, so no number of others
     can crowd it out. Rows of equal place don't count, or with ``ties`` those of a smaller id do. Only similarities of at least
     ``least`` count; equal ones, to ``digits`` places, go to the smaller id. Rows with a null, and vectors of another length than ``dim``, with a
-    null or non-finite number, or all zero take no part. Ids are distinct. Rows are dealt to blocks by hash, and one task compares one pair of blocks
-    both ways: the work is quadratic in the rows of a kind, and what is sent is each row once a block.
+    null or non-finite number, or all zero take no part. Ids are distinct, kinds few. Rows of a kind are dealt to blocks by hash, and one task compares
+    one pair of blocks both ways: the work is quadratic in the rows of a kind, and what is sent is each row once for each block of its kind.
     """
     usable = (
         rows.where((F.size("vector") == dim) & F.col("id").isNotNull() & F.col("kind").isNotNull() & F.col("place").isNotNull())
         .select("id", "kind", F.col("place").cast("long").alias("place"), F.col("vector").cast("array<float>").alias("vector"))
         .where(F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vector", lambda v: v != 0))
     )
-    blocks = max(4, -(-rows.count() // block_rows))
-    dealt = usable.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).mapInArrow(_dealt(blocks, dim), "kind string, low long, high long, first boolean, id string, place long, packed binary")
-    placed = dealt.repartition(blocks * (blocks + 1), "kind", "low", "high").sortWithinPartitions("kind", "low", "high", "id")
+    blocks = {r.kind: -(-r["count"] // block_rows) for r in usable.groupBy("kind").count().collect()}
+    dealt = usable.withColumn("hash", F.xxhash64("id")).mapInArrow(_dealt(blocks, dim), "kind string, low long, high long, first boolean, id string, place long, packed binary")
+    pairs = sum(b * (b + 1) // 2 for b in blocks.values())
+    placed = dealt.repartition(max(1, 2 * pairs), "kind", "low", "high").sortWithinPartitions("kind", "low", "high", "id")
     found = placed.mapInArrow(_compared(ties, least, digits, dim), "id string, other string, cosine double").where(F.col("cosine") >= least)
     best = found.groupBy("id").agg(F.min(F.struct((-F.round("cosine", digits)).alias("order"), "other", "cosine")).alias("n"))
     return best.select("id", F.col("n.other").alias("other"), F.col("n.cosine").alias("cosine"))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.config import SCORING
-from mnemospark.functions.scores import days_between
 from mnemospark.operators import graph as G
 from mnemospark.operators import retrieval as R
 from mnemospark.operators.arrivals import arrival_outcomes
@@ -169,11 +168,8 @@ def vectors_unindexed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def arrivals(spark: SparkSession, folder: str) -> DataFrame:
-    """What becomes of the memories of the newest week, held against all that came before each."""
-    live = P.active(spark, folder)
-    newest = live.agg(F.max("created_at").alias("last"))
-    week = live.crossJoin(F.broadcast(newest)).where(days_between(F.col("last"), F.col("created_at")) < 7)  # one row
-    found = arrival_outcomes(checkpoint(week.select("id", "category", "base_priority", "created_at")), live, G.first_vectors(table(spark, folder, "memory_vec")))
+    """What becomes of each active memory as it arrives, held against all that came before it."""
+    found = arrival_outcomes(P.active(spark, folder), G.first_vectors(table(spark, folder, "memory_vec")))
     return found.select("id", "outcome", "other", F.round("distance", 5).alias("distance"))
 
 

@@ -161,3 +161,4 @@ def test_nearest_that_ranks_before_needs_no_link(spark):
     near = nearest_before(df, ties=True, least=0.849, digits=6).collect()
     assert {r.id: r.other for r in near} == {"a": "b", "e": "a"}
     assert {r.id: r.other for r in nearest_before(df).collect()} == {"a": "b", "c": "b", "e": "b"}
+    assert {r.id: r.other for r in nearest_before(df, ties=True, least=0.849, digits=6, block_rows=1).collect()} == {"a": "b", "e": "a"}

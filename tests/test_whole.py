@@ -40,3 +40,18 @@ def test_near_duplicates(spark, store):
             want[rows.id[i]] = (rows.id[j], pytest.approx(1 - cos[i, j], abs=1e-5))
     got = query(spark, "near_duplicates")
     assert {k: (r.winner, r.distance) for k, r in got.items()} == want
+
+
+def test_arrivals(spark, store):
+    rows, cos = store
+    p, want = rows.base_priority, {i: ("inserted", None, None) for i in (r.id for r in P.active(spark, FOLDER).select("id").collect())}
+    live = np.flatnonzero(rows.status == "active")
+    for i in live:
+        older = [j for j in live if rows.category[j] == rows.category[i] and rows.created_at[j] < rows.created_at[i]]
+        if older:
+            d, j = min((round(1 - cos[i, j], 9), j) for j in older)
+            outcome = "inserted" if d >= 0.1 else "superseded" if p[i] > p[j] else "dedup_rejected"
+            want[rows.id[i]] = (outcome, rows.id[j], pytest.approx(d, abs=1e-5))
+    got = query(spark, "arrivals")
+    assert {k: (r.outcome, r.other, r.distance) for k, r in got.items()} == want
+    assert {r.outcome for r in got.values()} == {"inserted", "superseded", "dedup_rejected"}

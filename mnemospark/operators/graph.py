@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions.vectors import cosine
+from mnemospark.operators.nearest import nearest_before
 from mnemospark.runtime import checkpoint
 
 
@@ -74,13 +75,12 @@ def diversity(cosines: DataFrame) -> DataFrame:
     return both.groupBy("memory_id").agg((1 - F.avg("cosine")).alias("diversity"))
 
 
-def shadow_load(cosines: DataFrame, memories: DataFrame) -> DataFrame:
-    """(memory_id, shadow): how much the most similar newer neighbour covers a memory, 0 at similarity 0.7 to 1 at 0.95."""
-    born = memories.select(F.col("id").alias("m"), "created_at")
-    pairs = cosines.select(F.col("low").alias("m"), F.col("high").alias("o"), "cosine").unionByName(cosines.select(F.col("high").alias("m"), F.col("low").alias("o"), "cosine"))
-    timed = pairs.join(born, "m").join(born.select(F.col("m").alias("o"), F.col("created_at").alias("newer")), "o")
+def shadow_load(memories: DataFrame, vectors: DataFrame, dim: int = 384) -> DataFrame:
+    """(memory_id, shadow): how much the most similar newer memory, linked or not, covers each that has a usable vector, 0 at similarity 0.7 to 1 at 0.95."""
+    held = memories.select("id", "created_at").join(first_vectors(vectors, dim).select(F.col("memory_id").alias("id"), F.col("embedding").alias("vector")), "id")
+    newer = nearest_before(held.select("id", F.lit("").alias("kind"), (-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("place"), "vector"), dim=dim)
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("cosine") - 0.7) / 0.25))
-    return timed.groupBy(F.col("m").alias("memory_id")).agg(F.max(F.when(F.col("newer") > F.col("created_at"), share).otherwise(0.0)).alias("shadow"))
+    return held.select(F.col("id").alias("memory_id")).join(newer.select(F.col("id").alias("memory_id"), share.alias("shadow")), "memory_id", "left").fillna(0.0, ["shadow"])
 
 
 def betweenness(edges: DataFrame, sources: DataFrame, most_hops: int = 4) -> DataFrame:

@@ -55,28 +55,32 @@ class _Best:
         self.q.append(at + i)
         self.r.append(j)
 
-    def found(self, a: np.ndarray, b: np.ndarray, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def found(self, raw: np.ndarray, queries: np.ndarray, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, its nearest, cosine) of the rows that have one; of equal ones the first."""
         q, r = np.concatenate(self.q), np.concatenate(self.r)
         exact = np.empty(len(q))
-        for s in range(0, len(q), 50_000):
-            x, y = a[q[s : s + 50_000]].astype(np.float64), b[r[s : s + 50_000]].astype(np.float64)
-            exact[s : s + 50_000] = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
+        for s in range(0, len(q), 20_000):
+            x, y = raw[queries[q[s : s + 20_000]]].astype(np.float64), raw[r[s : s + 20_000]].astype(np.float64)
+            exact[s : s + 20_000] = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
         order = np.lexsort((r, -np.round(exact, digits), q))
         q, r, exact = q[order], r[order], exact[order]
         one = np.concatenate([[True], q[1:] != q[:-1]]) if len(q) else np.zeros(0, dtype=bool)
         return q[one], r[one], exact[one]
 
 
-def _nearest_in(first: np.ndarray, own: bool, raw: np.ndarray, place: np.ndarray, ties: bool, least: float, digits: int, tile: tuple[int, int] = (512, 4096)):
+def _unit(x: np.ndarray) -> np.ndarray:
+    x /= np.sqrt(np.einsum("ij,ij->i", x, x, dtype=np.float64))[:, None].astype(np.float32)
+    return x
+
+
+def _nearest_in(first: np.ndarray, own: bool, raw: np.ndarray, codes: np.ndarray, place: np.ndarray, ties: bool, least: float, digits: int, tile: tuple[int, int] = (512, 4096)):
     """(row, nearest, cosine) for the rows of two blocks, or of one with itself. Rows are in order of their ids."""
-    unit = (raw / np.sqrt(np.einsum("ij,ij->i", raw, raw, dtype=np.float64))[:, None]).astype(np.float32)
-    _, codes = np.unique(raw.view(f"V{raw.shape[1] * 4}").ravel(), return_inverse=True)
     a, b = (np.arange(len(raw)),) * 2 if own else (np.flatnonzero(first), np.flatnonzero(~first))
     if not len(a) or not len(b):
         return
     there, back = _Best(len(a), least), _Best(len(b), least)
-    xa, xb = unit[a], unit[b]
+    xa = _unit(raw[a])
+    xb = xa if own else _unit(raw[b])
     for s in range(0, len(a), tile[0]):
         rows = a[s : s + tile[0]]
         for t in range(0, len(b), tile[1]):
@@ -91,7 +95,7 @@ def _nearest_in(first: np.ndarray, own: bool, raw: np.ndarray, place: np.ndarray
             if not own:
                 back.add(t, cos.T, after.T, rows, codes)
     for side, queries in ((there, a), (back, b))[: 1 if own else 2]:
-        q, r, c = side.found(raw[queries], raw, digits)
+        q, r, c = side.found(raw, queries, digits)
         yield queries[q], r, c
 
 
@@ -105,11 +109,15 @@ def _compared(ties: bool, least: float, digits: int, dim: int):
             if not held:
                 return
             rows = pa.Table.from_batches(held).combine_chunks()
-            raw = np.empty((rows.num_rows, dim), dtype=np.float32)
-            for i, x in enumerate(rows.column("packed").to_pylist()):
+            held.clear()
+            raw, known, codes = np.empty((rows.num_rows, dim), dtype=np.float32), {}, np.empty(rows.num_rows, dtype=np.int64)
+            for i, x in enumerate(rows.column("packed")):
+                x = x.as_py()
                 raw[i] = np.frombuffer(x, dtype=np.float16 if len(x) == 2 * dim else np.float32)
+                codes[i] = known.setdefault(hash(x), i)
             ids, first, place = rows.column("id").combine_chunks(), np.asarray(rows.column("first")), np.asarray(rows.column("place"))
-            for q, r, c in _nearest_in(first, at[1] == at[2], raw, place, ties, least, digits):
+            del rows, known
+            for q, r, c in _nearest_in(first, at[1] == at[2], raw, codes, place, ties, least, digits):
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), ids.take(pa.array(r)), pa.array(c)], ["id", "other", "cosine"])
 
         for batch in batches:
@@ -142,7 +150,7 @@ def nearest_before(rows: DataFrame, ties: bool = False, least: float = -1.0, dig
         .select("id", "kind", F.col("place").cast("long").alias("place"), F.col("vector").cast("array<float>").alias("vector"))
         .where(F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vector", lambda v: v != 0))
     )
-    blocks = {r.kind: -(-r["count"] // block_rows) for r in usable.groupBy("kind").count().collect()}
+    blocks = {r.kind: -(-r["count"] // block_rows) for r in rows.where("kind is not null").groupBy("kind").count().collect()}  # without a look at the vectors, which would be shuffled for it
     dealt = usable.withColumn("hash", F.xxhash64("id")).mapInArrow(_dealt(blocks, dim), "kind string, low long, high long, first boolean, id string, place long, packed binary")
     pairs = sum(b * (b + 1) // 2 for b in blocks.values())
     placed = dealt.repartition(max(1, 2 * pairs), "kind", "low", "high").sortWithinPartitions("kind", "low", "high", "id")

@@ -149,7 +149,7 @@ def link_diversity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def link_shadows(spark: SparkSession, folder: str) -> DataFrame:
-    return G.shadow_load(_cosines(spark, folder), P.memories(spark, folder)).select("memory_id", F.round("shadow", 5).alias("shadow"))
+    return G.shadow_load(P.memories(spark, folder), table(spark, folder, "memory_vec")).select("memory_id", F.round("shadow", 5).alias("shadow"))
 
 
 def link_betweenness(spark: SparkSession, folder: str) -> DataFrame:

@@ -55,3 +55,13 @@ def test_arrivals(spark, store):
     got = query(spark, "arrivals")
     assert {k: (r.outcome, r.other, r.distance) for k, r in got.items()} == want
     assert {r.outcome for r in got.values()} == {"inserted", "superseded", "dedup_rejected"}
+
+
+def test_link_shadows(spark, store):
+    rows, cos = store
+    born, want = rows.created_at.to_numpy(), {}
+    for i in range(len(rows)):
+        newer = born > born[i]
+        best = cos[i][newer].max() if newer.any() else 0.0
+        want[rows.id[i]] = pytest.approx(min(1.0, max(0.0, (best - 0.7) / 0.25)), abs=2e-5)
+    assert {k: r.shadow for k, r in query(spark, "link_shadows").items()} == want

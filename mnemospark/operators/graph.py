@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,26 +85,39 @@ def shadow_load(memories: DataFrame, vectors: DataFrame, dim: int = 384) -> Data
     return held.select(F.col("id").alias("memory_id")).join(newer.select(F.col("id").alias("memory_id"), share.alias("shadow")), "memory_id", "left").fillna(0.0, ["shadow"])
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, most_hops: int = 4) -> DataFrame:
-    """(memory_id, betweenness): shortest paths of up to ``most_hops`` links from the stated sources that run through a memory.
+def betweenness(edges: DataFrame, sources: DataFrame, active: DataFrame | None = None) -> DataFrame:
+    """(memory_id, betweenness): shortest paths from the stated sources that run through a memory, whatever their length.
 
-    Brandes' sums over levels: forward, path counts level by level; backward, dependencies from the farthest level in. Every
-    level is a join by (source, node) for all sources at once. Both directions of a pair count.
+    Brandes' sums over levels: forward, path counts level by level until nothing new is reached; backward, dependencies from
+    the farthest level in. Every level is a join by (source, node) for all sources at once. Both directions of a pair count. With
+    ``active`` memories (memory_id) paths run through these only, and sums are divided by (n - 1)(n - 2) / 2 for their number n.
     """
     low = pairs_of(edges)
+    if active is not None:
+        known = active.select("memory_id").distinct()
+        low = low.join(known.withColumnRenamed("memory_id", "low"), "low", "left_semi").join(known.withColumnRenamed("memory_id", "high"), "high", "left_semi")
     adj = checkpoint(low.select(F.col("low").alias("node"), F.col("high").alias("next")).unionByName(low.select(F.col("high").alias("node"), F.col("low").alias("next"))))
-    level = sources.select(F.col("memory_id").alias("source"), F.col("memory_id").alias("node")).distinct().withColumn("paths", F.lit(1.0)).withColumn("level", F.lit(0))
-    seen, levels = level, [level]
-    for hop in range(1, most_hops + 1):
-        reached = levels[-1].join(adj, "node").groupBy("source", F.col("next").alias("node")).agg(F.sum("paths").alias("paths")).withColumn("level", F.lit(hop))
-        new = checkpoint(reached.join(seen.select("source", "node"), ["source", "node"], "left_anti"))
+    level = checkpoint(sources.select(F.col("memory_id").alias("source"), F.col("memory_id").alias("node")).distinct().withColumn("paths", F.lit(1.0)))
+    levels = [level]
+    while True:
+        reached = levels[-1].join(adj, "node").groupBy("source", F.col("next").alias("node")).agg(F.sum("paths").alias("paths"))
+        # What a level meets lies on the level before it, on itself or beyond, so these two are all that can have been seen.
+        for old in levels[-2:]:
+            reached = reached.join(old.select("source", "node"), ["source", "node"], "left_anti")
+        new = checkpoint(reached)
+        if new.isEmpty():
+            break
         levels.append(new)
-        seen = checkpoint(seen.unionByName(new))
+    if len(levels) < 2:
+        return level.select(F.col("node").alias("memory_id"), F.lit(0.0).alias("betweenness")).where("false")
     carried = levels[-1].select("source", "node", "paths", F.lit(0.0).alias("dependency"))
-    found = carried
-    for hop in range(most_hops - 1, 0, -1):
+    sums = []
+    for here in levels[-2:0:-1]:
+        sums.append(carried)
         share = carried.join(adj, "node").select("source", F.col("next").alias("node"), ((1 + F.col("dependency")) / F.col("paths")).alias("part"))
-        here = levels[hop].select("source", "node", "paths").join(share, ["source", "node"], "left").groupBy("source", "node").agg(F.first("paths").alias("paths"), F.sum(F.coalesce("part", F.lit(0.0))).alias("part"))
-        carried = checkpoint(here.select("source", "node", "paths", (F.col("paths") * F.col("part")).alias("dependency")))
-        found = found.unionByName(carried)
-    return found.groupBy(F.col("node").alias("memory_id")).agg(F.sum("dependency").alias("betweenness")).where("betweenness > 0")
+        met = here.select("source", "node", "paths").join(share, ["source", "node"], "left").groupBy("source", "node").agg(F.first("paths").alias("paths"), F.sum(F.coalesce("part", F.lit(0.0))).alias("part"))
+        carried = checkpoint(met.select("source", "node", "paths", (F.col("paths") * F.col("part")).alias("dependency")))
+    found = reduce(DataFrame.unionByName, [*sums, carried])
+    total = found.groupBy(F.col("node").alias("memory_id")).agg(F.sum("dependency").alias("betweenness")).where("betweenness > 0")
+    n = known.count() if active is not None else 0
+    return total.withColumn("betweenness", F.col("betweenness") / ((n - 1) * (n - 2) / 2)) if n > 2 else total

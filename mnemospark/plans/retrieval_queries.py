@@ -153,9 +153,10 @@ def link_shadows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def link_betweenness(spark: SparkSession, folder: str) -> DataFrame:
-    """Shortest paths from the most abstract memories that run through each memory."""
-    sources = P.active(spark, folder).where("layer = 'gestalt'").select(F.col("id").alias("memory_id"))
-    return G.betweenness(table(spark, folder, "memory_edges"), sources).select("memory_id", r6("betweenness").alias("betweenness"))
+    """Shortest paths through each active memory, from a stated set of sources: every hundredth active memory by the hash of its id."""
+    live = P.active(spark, folder).select(F.col("id").alias("memory_id"))
+    sources = live.where(F.pmod(F.xxhash64("memory_id"), F.lit(100)) == 0)
+    return G.betweenness(table(spark, folder, "memory_edges"), sources, live).select("memory_id", F.round("betweenness", 12).alias("betweenness"))
 
 
 def vectors_unindexed(spark: SparkSession, folder: str) -> DataFrame:

@@ -12,6 +12,7 @@ from mnemospark.functions.scores import effective_priority, exploration, recipro
 from mnemospark.functions.text import normal_themes, strip_secrets
 from mnemospark.functions.vectors import cosine, novelty
 from mnemospark.operators import feedback as B
+from mnemospark.operators import graph as G
 from mnemospark.operators import maintenance as M
 from mnemospark.operators import metrics as Q
 from mnemospark.operators import retrieval as R
@@ -162,3 +163,12 @@ def test_nearest_that_ranks_before_needs_no_link(spark):
     assert {r.id: r.other for r in near} == {"a": "b", "e": "a"}
     assert {r.id: r.other for r in nearest_before(df).collect()} == {"a": "b", "c": "b", "e": "b"}
     assert {r.id: r.other for r in nearest_before(df, ties=True, least=0.849, digits=6, block_rows=1).collect()} == {"a": "b", "e": "a"}
+
+
+def test_betweenness_follows_paths_to_their_end(spark):
+    edges = spark.createDataFrame([(str(i), f"n{i}", f"n{i + 1}") for i in range(8)] + [("x", "n3", "gone")], "id string, source_id string, target_id string")
+    sources = spark.createDataFrame([("n0",)], "memory_id string")
+    active = spark.createDataFrame([(f"n{i}",) for i in range(9)] + [("alone",)], "memory_id string")
+    got = {r.memory_id: r.betweenness for r in G.betweenness(edges, sources, active).collect()}
+    assert got == {f"n{i}": pytest.approx((8 - i) / 36) for i in range(1, 8)}
+    assert G.betweenness(edges, sources.where("false"), active).count() == 0

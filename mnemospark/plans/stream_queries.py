@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.plans import parts as P
 from mnemospark.plans.feedback_queries import SUMMARY
+from mnemospark.sources.tables import table
 from mnemospark.streaming import events as S
 
 
@@ -15,10 +16,10 @@ def stream_daily_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
-    """Per session the number of its bursts and the size of the longest, as far as the watermark has closed them."""
-    done = S.bursts(S.timed(S.event_stream(spark, folder).where("session_id is not null")))
-    closed = S.drain(done)
-    return closed.groupBy("session_id").agg(F.count(F.lit(1)).alias("bursts"), F.max("events").alias("longest"))
+    """Per session the number of its bursts and the size of the longest: those that the watermark has closed, and those still open at the end."""
+    closed, watermark = S.drain_to_watermark(S.bursts(S.timed(S.event_stream(spark, folder).where("session_id is not null"))))
+    still = S.open_bursts(S.timed(table(spark, folder, "memory_events").where("session_id is not null")), watermark)
+    return closed.unionByName(still).groupBy("session_id").agg(F.count(F.lit(1)).alias("bursts"), F.max("events").alias("longest"))
 
 
 def stream_matches(spark: SparkSession, folder: str) -> DataFrame:

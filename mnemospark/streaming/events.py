@@ -57,6 +57,15 @@ def bursts(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return whole.groupBy("session_id", F.session_window("created_at", gap).alias("w")).agg(F.count(F.lit(1)).alias("events")).select("session_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
 
 
+def open_bursts(events: DataFrame, watermark: str, gap: str = "30 minutes") -> DataFrame:
+    """The bursts that a stream of these events leaves open at its last watermark, from the events (once each) as a static table.
+
+    An open burst ends after the watermark. Sessions without an event later than the watermark less the gap have none; of the others all bursts are formed.
+    """
+    late = events.where(F.col("created_at") > F.expr(f"timestamp '{watermark}' - interval {gap}")).select("session_id").distinct()
+    return bursts(events.join(late, "session_id", "left_semi"), gap).where(F.col("end") > F.expr(f"timestamp '{watermark}'"))
+
+
 def matches(feedback: DataFrame, recalls: DataFrame, within: str = "60 seconds") -> DataFrame:
     """(feedback_id, recall_id, gap): ratings with the recalls of their session up to a minute before, as a join of two streams."""
     left = feedback.where("event_type = 'feedback' and session_id is not null").select(F.col("id").alias("feedback_id"), F.col("session_id").alias("s"), F.col("created_at").alias("rated_at"))
@@ -84,11 +93,17 @@ def smoothed_utility(events: DataFrame) -> DataFrame:
     return rated.groupBy("memory_id").applyInPandasWithState(_update, RESULT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, mode: str = "append", latest_by: list[str] | None = None, order: str | None = None) -> DataFrame:
+def drain_to_watermark(stream: DataFrame) -> tuple[DataFrame, str]:
+    """What a stream in append mode wrote to its end, and the watermark up to which it did."""
+    marks: list[str] = []
+    return drain(stream, marks=marks), marks[-1]
+
+
+def drain(stream: DataFrame, mode: str = "append", latest_by: list[str] | None = None, order: str | None = None, marks: list[str] | None = None) -> DataFrame:
     """Run a stream until its source is read, and read what it wrote.
 
     In update mode the rows of ``latest_by`` with the largest ``order`` are the result. What is written and the
-    stream's own checkpoints lie in the shared checkpoint folder.
+    stream's own checkpoints lie in the shared checkpoint folder. The watermark of the last batch is added to ``marks``.
     """
     spark = stream.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-stream-")
@@ -99,6 +114,9 @@ def drain(stream: DataFrame, mode: str = "append", latest_by: list[str] | None =
         write = stream.writeStream.format("parquet").option("path", f"{at}/out").outputMode("append")
     query = write.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     query.awaitTermination()
+    if marks is not None:
+        last = query.lastProgress
+        marks.append((last["eventTime"].get("watermark") if last else None) or "1970-01-01T00:00:00.000Z")
     extra = [T.StructField("__batch", T.LongType())] if mode == "update" else []
     done = spark.read.schema(T.StructType([*stream.schema.fields, *extra])).parquet(f"{at}/out")
     if mode == "update" and latest_by:

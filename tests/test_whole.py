@@ -65,3 +65,10 @@ def test_link_shadows(spark, store):
         best = cos[i][newer].max() if newer.any() else 0.0
         want[rows.id[i]] = pytest.approx(min(1.0, max(0.0, (best - 0.7) / 0.25)), abs=2e-5)
     assert {k: r.shadow for k, r in query(spark, "link_shadows").items()} == want
+
+
+def test_stream_sessions(spark):
+    events = P.events(spark, FOLDER).where("session_id is not null and created_at is not null").select("session_id", "created_at").toPandas().sort_values(["session_id", "created_at"])
+    new = (events.session_id != events.session_id.shift()) | (events.created_at.diff().dt.total_seconds() >= 1800)
+    sizes = events.groupby(["session_id", new.cumsum()]).size().groupby("session_id").agg(["count", "max"])
+    assert {k: (r.bursts, r.longest) for k, r in query(spark, "stream_sessions").items()} == {k: (r["count"], r["max"]) for k, r in sizes.iterrows()}

@@ -1,297 +1,129 @@
 """Personal data in free text, found by weak supervision and replaced by typed placeholders.
 
-1. Candidate spans are cut from each distinct text by wide patterns and a name grammar, per type of item.
-2. Labelers vote on each candidate: patterns of known formats, gazetteers, words before and after, and shapes that
-   speak against it. A vote is for, against, or none.
-3. Expectation-maximisation over the votes of all candidates estimates for each labeler how often it votes which
-   way on true and on false candidates, without any labelled data. Votes are grouped by pattern first, so that only the
-   number of distinct patterns, not of candidates, reaches the driver.
-4. A span classifier (logistic regression over votes and pairs of votes) is trained on the estimated labels and decides;
-   of overlapping spans the more certain one, then the longer one, stays.
+1. Candidate spans are cut from each distinct text, widely, per type of item (``pii_spans``).
+2. Labelers vote on each candidate: patterns of known formats, check digits, a short list of given names, titles, words before
+   and after, and shapes that speak against it. A vote is for, against, or none. Two labelers of names vote by the whole
+   corpus: a gazetteer that grows from it (given names go with many family names, a fixed phrase is always the same
+   pair) and the words that it writes in lower case.
+3. Expectation-maximisation over the votes of all candidates estimates how reliable each labeler is, without
+   any labelled data. Votes are grouped by pattern first, so that only the number of distinct patterns reaches the driver.
+4. A span classifier (logistic regression over the form of a span, the words beside it and the votes) is trained on the
+   estimated labels of a bounded sample and decides on every candidate, also on those that no labeler voted for; of overlapping spans the more
+   certain one, then the longer one, stays.
 """
 
 from __future__ import annotations
 
 import bisect
-import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.pii_words import COMMON_WORDS, GIVEN_NAMES, PARTICLES, TITLES
+from mnemospark.llm.pii_model import estimate, rows_of, score, train
+from mnemospark.llm.pii_spans import CELLS, CORPUS_LABELERS, LABELERS, TYPES, candidates, decode, encode, features, votes
 from mnemospark.runtime import checkpoint
 
-TYPES = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDER = {t: f"[{t.upper()}]" for t in TYPES}
-#: Context that labelers read on either side of a candidate, in characters.
-REACH = 40
-#: Distinct vote patterns that may reach the driver; with the labelers below a few hundred occur.
+#: Distinct vote patterns that may reach the driver; with the labelers at hand a few hundred occur.
 MAX_PATTERNS = 200_000
+#: Candidates of a type that the classifier is trained on; all are used where there are fewer.
+SAMPLE = 10_000
+
+#: Weight of the prior belief that labelers are right, as a share of their votes.
+TRUST = 0.2
+
+_LOWER = "lower"  # rows that count words written in lower case, beside the candidates
+_WORD = regex.compile(r"(?<![\p{L}\p{N}_@.'’-])\p{Ll}\p{L}+(?:['’\-]\p{L}+)*")
 
-_GIVEN, _PARTICLES, _COMMON, _TITLES = map(frozenset, (GIVEN_NAMES, PARTICLES, COMMON_WORDS, TITLES))
-
-# --- candidates -------------------------------------------------------------------------------------------------
-
-_AT = r"(?:\s?(?:@|\{at\}|\[at\]|\(at\))\s?)"
-_EMAIL = re.compile(rf"(?<![\w.+%-])[\w+%'-]+(?:\.[\w+%'-]+)*{_AT}[\w-]+(?:(?:\.| dot )[\w-]+)+", re.I)
-_SPELLED = re.compile(r"(?<![\w.+%-])[\w+%-]+(?:(?: dot |\.)[\w+%-]+)* at [\w-]+(?:(?: dot |\.)[\w-]+)+", re.I)
-_PHONE = re.compile(r"(?<![\w#@./+-])(?:\+\s?)?\(?\d(?:(?!\. )[\d ().\-/]){5,22}\d(?![\w])")
-_IDS = {
-    "three_two_four": re.compile(r"(?<![\w-])\d{3}([- ]?)\d{2}\1\d{4}(?![\w-])"),
-    "insurance": re.compile(r"(?<!\w)[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D](?!\w)", re.I),
-    "passport": re.compile(r"(?<!\w)[A-Z]{1,2}\d{6,8}(?!\w)", re.I),
-    "letter_last": re.compile(r"(?<!\w)\d{8}-?[A-Z](?!\w)", re.I),
-}
-_CAPS = r"[A-ZÀ-ÝŁŚŻŹĆ][\w'’-]*"
-_KIND = r"(?:Street|St\.|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct|Close|Terrace|Place|Pl|Way|Square|Sq|Crescent|Parkway|Pkwy|Row|Gardens|Grove|Walk|Mews)"
-_UNIT = r"(?:Flat|Apt\.?|Apartment|Unit|Suite|Ste\.?|Floor|Room|#)"
-_OF = r"(?:(?:de las|de los|de la|de l['’]|del|des|du|de|d['’]|la|le|les|los|las)\s?)?"
-_ADDRESSES = {
-    "english": re.compile(rf"(?<![\w-])(?:{_UNIT} ?\d+[A-Za-z]?, )?\d{{1,5}}[A-Za-z]? (?:{_CAPS} ){{1,3}}{_KIND}(?!\w)(?:,? {_UNIT}\s?\d+[A-Za-z]?(?!\w))?"),
-    "german": re.compile(r"(?<![\w-])[A-ZÄÖÜ][\w-]*(?:straße|strasse|str\.|weg|allee|gasse|platz|ring|damm|ufer|steig|hof) \d{1,4}\s?[a-z]?(?!\w)"),
-    "french": re.compile(rf"(?<![\w-])\d{{1,4}}(?: (?:bis|ter|quater))?,? (?:rue|avenue|boulevard|chemin|impasse|allée|place|quai|route|cours|passage|square) {_OF}{_CAPS}(?:[ -]{_CAPS}){{0,3}}"),
-    "spanish": re.compile(rf"(?<![\w-])(?:Calle|C/|Avenida|Avda\.?|Plaza|Pza\.?|Paseo|Camino|Ronda|Rua|Praça) {_OF}{_CAPS}(?: {_CAPS}){{0,3}},? (?:n[ºo°]\.? ?)?\d{{1,4}}(?!\w)(?:, (?:\d{{1,2}}[ºª°](?: ?[A-Z](?!\w))?|bajo|ático))?"),
-}
-_TOKEN = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
-
-# --- words around a candidate ---------------------------------------------------------------------------------------
-
-_BEFORE = {
-    "email": re.compile(r"(?:mail|e-mail|mailto:|contact|reach\w*|via|write|écrire à|adresse|address|lautet|messages? from|reply to|who is|notes to|forward\w*)\W*$|[<(]$", re.I),
-    "phone": re.compile(r"(?:tel\w*|phone|call(?:ed)?|back on|mobile|cell|fax|voicemail|number\w*|fridge is|whatsapp|only:|rappeler au|rückruf unter|from|log|handy)\W*$", re.I),
-    "id_number": re.compile(r"(?:ssn|social security|ni number|nino|insurance|passport|reisepass|pass|dni|nif|nie|national id|identity|ausweis|tax id|pesel)\W*(?:no|nr|number|num)?\W*$", re.I),
-    "address": re.compile(r"(?:goes to|visit|moved to|lives? at|is at|place was|wohnt jetzt in der|wohnt|address|directions to|delivery|deliver\w*|lives)\W*$", re.I),
-    "name": re.compile(r"(?:according to|owner of the notes|birthday of|led by|met|meeting with|what did|who is|notes on|signed by|is|by|with|ask|from)\W*$", re.I),
-}
-_AFTER = {
-    "email": re.compile(r"^\W*(?:for|about|bounced|was|subject|avant|bitte|today)", re.I),
-    "phone": re.compile(r"^\W*(?:ask|prefers|no answer|gewünscht|demain|about|yesterday)", re.I),
-    "id_number": re.compile(r"^\W*(?:again|in the|over the|was typed|was)", re.I),
-    "address": re.compile(r"^(?:,? (?:\d{4,5} )?[A-Z]\w+|\W*(?:on|in spring|ring|keys|from))", re.I),
-    "name": re.compile(r"^\W*(?:birthday|signed|prefers|said|says?|allergic|before|after|the plan|is in|and|wrote|asked)", re.I),
-}
-_TITLE = re.compile(rf"(?:^|\W)(?:{'|'.join(TITLES)})\.? $", re.I)
-_NOT_PERSONAL = re.compile(r"(?<!\w)(?:ticket|run|issue|batch|batch id|build|commit|window|epoch|order|version|page|host|port|top_k|pinned|step|took|v|#|beat run|tokens|score)\W*$", re.I)
-_ID_PLACE = re.compile(r"(?:needs|shows|read out|papers|record|form with|save|stored|document)\W*(?:\w+\W+){0,3}$", re.I)
-_TLD = re.compile(r"(?:\.| dot )([a-z]{2,12})$", re.I)
-
-
-@dataclass(frozen=True)
-class Candidate:
-    kind: str
-    start: int
-    end: int
-    shape: str
-    given: int = 0
-
-
-def _names(text: str) -> Iterator[Candidate]:
-    tokens = [(m.group(0), m.start(), m.end()) for m in _TOKEN.finditer(text)]
-    n = len(tokens)
-    gap = lambda i: text[tokens[i][2] : tokens[i + 1][1]] if i + 1 < n else None
-
-    def given(i: int) -> bool:
-        word = tokens[i][0].lower()
-        return word in _GIVEN or ("-" in word and word.split("-")[0] in _GIVEN)
-
-    def upper(i: int) -> bool:
-        return tokens[i][0][0].isupper()
-
-    def family(i: int, like: int) -> int | None:
-        """Index of the last token of a family name that starts at i, written as the token ``like`` is."""
-        j, low = i, not upper(like)
-        while j < n and j - i < 2 and tokens[j][0].lower() in _PARTICLES and gap(j) == " ":
-            j += 1
-        if j >= n or len(tokens[j][0]) < 2 or tokens[j][0].lower().replace("’", "'") in _COMMON:
-            return None
-        return j if (low and not upper(j)) or (not low and upper(j)) else None
-
-    def initial(i: int) -> bool:
-        return i < n and len(tokens[i][0]) == 1 and text[tokens[i][2] : tokens[i][2] + 1] == "."
-
-    for i in range(n):
-        word, start, end = tokens[i]
-        known = given(i)
-        titled = bool(_TITLE.search(text[max(0, start - 12) : start]))
-        if len(word) > 1 and (known or (upper(i) and word.lower() not in _COMMON and (titled or _BEFORE["name"].search(text[max(0, start - REACH) : start])))):
-            j, between = i + 1, gap(i)
-            if between == " " and initial(j) and gap(j) == ". ":
-                j, between = j + 1, " "
-            if between == " " and j < n and (last := family(j, i)) is not None:
-                yield Candidate("name", start, tokens[last][2], "given_family", int(known))
-        if initial(i) and upper(i) and gap(i) == ". " and (i == 0 or text[start - 1] == " ") and (last := family(i + 1, i)) is not None and not (i and gap(i - 1) == " " and given(i - 1)):
-            yield Candidate("name", start, tokens[last][2], "initial_family")
-        # Family, given: the given name must be known, and no family name may follow it.
-        if len(word) > 1 and word.lower() not in _COMMON and word.lower() not in _PARTICLES and gap(i) == ", " and given(i + 1) and upper(i) == upper(i + 1):
-            if not (gap(i + 1) == " " and family(i + 2, i + 1) is not None and upper(i + 1)):
-                first = i
-                while first and first > i - 2 and gap(first - 1) == " " and tokens[first - 1][0].lower() in _PARTICLES and (upper(first - 1) or not upper(i) or tokens[first - 1][0] in ("van", "von", "de", "da", "der", "del", "di", "la")):
-                    first -= 1
-                stop = tokens[i + 1][2]
-                if gap(i + 1) == " " and initial(i + 2):
-                    stop = tokens[i + 2][2] + 1
-                yield Candidate("name", tokens[first][1], stop, "family_given", 1)
-
-
-def candidates(text: str) -> Iterator[Candidate]:
-    if "@" in text or "at" in text.lower():
-        for m in _EMAIL.finditer(text):
-            yield Candidate("email", m.start(), m.end(), "signed" if "@" in m.group(0) else "bracketed")
-        for m in _SPELLED.finditer(text):
-            yield Candidate("email", m.start(), m.end(), "spelled" if " dot " in m.group(0).lower() else "bare_at")
-    if any(c.isdigit() for c in text):
-        for m in _PHONE.finditer(text):
-            raw, start = m.group(0), m.start()
-            if raw.count("(") > raw.count(")"):
-                cut = raw.index("(") + 1
-                raw, start = raw[cut:], start + cut
-            while raw.count(")") > raw.count("("):
-                raw = raw[: raw.rindex(")")]
-            raw = raw.rstrip(" ().-/")
-            if 8 <= sum(c.isdigit() for c in raw) <= 15:
-                yield Candidate("phone", start, start + len(raw), "digits")
-        for shape, pattern in _IDS.items():
-            for m in pattern.finditer(text):
-                yield Candidate("id_number", m.start(), m.end(), shape)
-        for shape, pattern in _ADDRESSES.items():
-            for m in pattern.finditer(text):
-                yield Candidate("address", m.start(), m.end(), shape)
-    yield from _names(text)
-
-
-# --- labelers -------------------------------------------------------------------------------------------------------
-
-LABELERS = {
-    "email": ("signed", "obfuscated", "domain", "before", "after", "versionlike"),
-    "phone": ("international", "national", "american", "grouped", "before", "after", "datelike", "plain", "other_number"),
-    "id_number": ("shape", "label", "place", "after", "other_number"),
-    "address": ("shape", "before", "after", "unit", "other_number"),
-    "name": ("gazetteer", "title", "before", "after", "shape", "case"),
-}
-
-
-def votes(c: Candidate, text: str) -> list[int]:
-    """One vote for each labeler of the candidate's type: 1 for, -1 against, 0 none."""
-    span = text[c.start : c.end]
-    left, right = text[max(0, c.start - REACH) : c.start], text[c.end : c.end + REACH]
-    before, after = int(bool(_BEFORE[c.kind].search(left))), int(bool(_AFTER[c.kind].search(right)))
-    foreign = -int(bool(_NOT_PERSONAL.search(left)))
-    if c.kind == "email":
-        top = _TLD.search(span)
-        number = re.search(r"\d+\.\d+", span.rpartition("@")[2]) is not None
-        return [int(c.shape == "signed"), {"bracketed": 1, "spelled": 1, "bare_at": -1}.get(c.shape, 0), 1 if top else -1, before, after, -int(number or not top)]
-    if c.kind == "phone":
-        digits = re.sub(r"\D", "", span)
-        abroad = bool(re.match(r"\+\s?\d|00[1-9]", span)) and 9 <= len(digits) <= 15
-        home = span[0] == "0" and span[1:2] != "0" and 9 <= len(digits) <= 12 and len(re.findall(r"\d+", span)[0]) in (2, 3, 4, 5, 10, 11)
-        american = bool(re.fullmatch(r"(?:\+?1[-. ]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[-. ])[2-9]\d{2}[-. ]\d{4}", span))
-        date = bool(re.fullmatch(r"(?:19|20)\d{2}[-./]?\d{2}[-./]?\d{2,4}(?:[-. ]\d{4,6})?|\d{1,3}(?:\.\d{1,3}){3}|\d{3}[- ]\d{2}[- ]\d{4}|\d{4}-\d{4}", span))
-        plain = span.isdigit() and span[0] != "0"
-        return [int(abroad), int(home), int(american), int(len(re.findall(r"\d+", span)) in (3, 4, 5, 6)), before, after, -int(date), -int(plain), foreign]
-    if c.kind == "id_number":
-        strong = {"insurance": 1, "letter_last": 1, "passport": 1, "three_two_four": 0 if span.isdigit() else 1}[c.shape]
-        return [strong, before, int(bool(_ID_PLACE.search(left))), after, foreign]
-    if c.kind == "address":
-        return [1, before, after, int(bool(re.search(rf"{_UNIT}|º", span))), foreign]
-    words = [w for w in _TOKEN.findall(span) if len(w) > 1]
-    cased = all(w[0].isupper() for w in words if w.lower() not in _PARTICLES)
-    low = span == span.lower()
-    common = any(w.lower() in _COMMON and w.lower() not in _PARTICLES for w in words)
-    title = int(bool(_TITLE.search(left)))
-    if c.shape == "initial_family":  # an initial names nobody without words that do
-        known = 1 if title or before or after else -1
-    else:
-        known = 1 if c.given else -1 if c.shape == "given_family" else 0
-    odd = bool(re.match(r"^\W*(?:project|release|pipeline|ledger|lane|street|road|avenue|channel|cache)", right, re.I))
-    return [known, title, before, after, -1 if common or odd else 1, 1 if cased else 0 if low else -1]
-
-
-def encode(v: list[int]) -> int:
-    """Votes as one number, three values a labeler."""
-    return sum((x + 1) * 3**i for i, x in enumerate(v))
-
-
-def decode(code: int, n: int) -> list[int]:
-    return [code // 3**i % 3 - 1 for i in range(n)]
-
-
-# --- reliabilities and classifier -------------------------------------------------------------------------------------
-
-
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of each vote pattern, and for each labeler the probabilities of its votes on false and true candidates.
-
-    The start is the majority of the votes. A weak prior says that labelers are right more often than wrong.
-    """
-    total = patterns.sum(axis=1)
-    post = np.clip(0.5 + 0.2 * total, 0.05, 0.95)
-    onehot = np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(float)  # pattern, labeler, vote
-    prior = np.array([[2.0, 1.0, 1.0], [1.0, 1.0, 2.0]])
-    table = np.zeros((2, patterns.shape[1], 3))
-    for _ in range(rounds):
-        for y, w in ((0, counts * (1 - post)), (1, counts * post)):
-            hits = np.einsum("p,plv->lv", w, onehot) + prior[y]
-            table[y] = hits / hits.sum(axis=1, keepdims=True)
-        share = float(np.clip((counts * post).sum() / counts.sum(), 0.02, 0.98))
-        log = np.einsum("plv,ylv->py", onehot, np.log(table)) + np.log([1 - share, share])
-        new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50)))
-        if np.abs(new - post).max() < 1e-6:
-            post = new
-            break
-        post = new
-    return post, table
-
-
-def features(patterns: np.ndarray) -> np.ndarray:
-    """Votes for and against, and the sum of votes, of each pattern, with a constant."""
-    total = patterns.sum(axis=1, keepdims=True)
-    return np.hstack([np.ones((len(patterns), 1)), patterns == 1, patterns == -1, total / 3.0, (total >= 2), (total < 0)]).astype(float)
-
-
-def train(x: np.ndarray, target: np.ndarray, counts: np.ndarray, ridge: float = 1e-2, rounds: int = 60) -> np.ndarray:
-    """Weights of a logistic regression on soft labels, by Newton's method."""
-    w, share = np.zeros(x.shape[1]), counts / counts.sum()
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (share * (p - target)) + ridge * 1e-2 * w
-        hessian = (x * (share * p * (1 - p))[:, None]).T @ x + (ridge * 1e-2 + 1e-6) * np.eye(len(w))
-        step = np.linalg.solve(hessian, gradient)
-        w -= step * min(1.0, 4.0 / max(np.linalg.norm(step), 1e-12))
-        if np.linalg.norm(step) < 1e-6:
-            break
-    return w
-
-
-def fit(patterns: dict[str, list[tuple[int, int]]]) -> dict[str, dict[int, float]]:
-    """Type -> vote pattern -> probability that such a candidate is an item, by the trained classifier."""
-    scores: dict[str, dict[int, float]] = {}
-    for kind, rows in patterns.items():
-        codes = [c for c, _ in rows]
-        grid = np.array([decode(c, len(LABELERS[kind])) for c in codes])
-        counts = np.array([n for _, n in rows], dtype=float)
-        post, _ = estimate(grid, counts)
-        x = features(grid)
-        w = train(x, post, np.sqrt(counts))
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        scores[kind] = dict(zip(codes, p.tolist()))
-    return scores
-
-
-# --- Spark ------------------------------------------------------------------------------------------------------------
+
+def _labelers(kind: str) -> int:
+    return len(LABELERS[kind]) + (len(CORPUS_LABELERS) if kind == "name" else 0)
 
 
 def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["key", "kind", "start", "stop", "item", "pattern", "cells", "first", "last"]
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.string(), pa.string())
+    lower: Counter = Counter()
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * len(names), kinds)], names)
+
+    def counted() -> pa.RecordBatch:
+        rows = [(None, _LOWER, None, None, w, n, None, None, None) for w, n in lower.items()]
+        lower.clear()
+        return out(rows)
+
     for batch in batches:
-        keys, rows = batch.column("key").to_pylist(), []
-        for key, text in zip(keys, batch.column("text").to_pylist()):
-            rows += [(key, c.kind, c.start, c.end, text[c.start : c.end], encode(votes(c, text))) for c in candidates(text)]
-        columns = list(zip(*rows)) or [[]] * 6
-        kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "kind", "start", "stop", "item", "pattern"])
+        rows = []
+        for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
+            if not text.islower():
+                lower.update(_WORD.findall(text))
+            rows += [(key, c.kind, c.start, c.end, text[c.start : c.end], encode(votes(c, text)), features(c, text), c.first, c.last) for c in candidates(text)]
+        yield out(rows)
+        if len(lower) > 200_000:
+            yield counted()
+    yield counted()
+
+
+def _beliefs(counted: DataFrame) -> dict[str, dict[int, float]]:
+    """Type -> vote pattern -> probability that such a candidate is an item, of ``counted`` (kind, pattern, n)."""
+    rows = counted.limit(MAX_PATTERNS + 1).collect()
+    if len(rows) > MAX_PATTERNS:
+        raise ValueError("more vote patterns than labelers of this number can give")
+    grouped: dict[str, list[tuple[int, int]]] = {}
+    for r in rows:
+        grouped.setdefault(r.kind, []).append((r.pattern, r.n))
+    found = {}
+    for kind, pairs in grouped.items():
+        pairs.sort()
+        grid = np.array([decode(p, _labelers(kind)) for p, _ in pairs])
+        found[kind] = dict(zip([p for p, _ in pairs], estimate(grid, np.array([n for _, n in pairs], float), trust=TRUST)[0].tolist()))
+    return found
+
+
+def _pair_votes(names: DataFrame, lower: DataFrame, beliefs: dict[int, float]) -> DataFrame:
+    """(first, last, company, lower): the corpus labelers' votes on each pair of given and family name.
+
+    A given name is known by its other bearers: at least two, mostly believed to be names. A pair whose parts meet
+    nobody else, however often it is written, is a fixed phrase. Every text and every pair counts.
+    """
+    table = names.sparkSession.createDataFrame(list(beliefs.items()), "pattern long, p double")
+    pairs = names.join(F.broadcast(table), "pattern").groupBy("first", "last").agg(F.avg("p").alias("p"), F.count(F.lit(1)).alias("n"))
+    pairs = checkpoint(pairs)
+    first = pairs.groupBy("first").agg(F.count(F.lit(1)).alias("families"), F.sum("p").alias("sum"), F.sum("n").alias("n_first"))
+    last = pairs.groupBy("last").agg(F.count(F.lit(1)).alias("givens"), F.sum("n").alias("n_last"))
+    low = lower.groupBy(F.col("item").alias("word")).agg(F.sum("pattern").alias("low"))
+    known = pairs.join(first, "first").join(last, "last")
+    known = known.join(low.select(F.col("word").alias("first"), F.col("low").alias("low_first")), "first", "left")
+    known = known.join(low.select(F.col("word").alias("last"), F.col("low").alias("low_last")), "last", "left")
+    others = F.when(F.col("families") > 1, (F.col("sum") - F.col("p")) / (F.col("families") - 1))
+    company = (
+        F.when((F.col("families") > 2) & (others >= 0.6), 1)
+        .when((F.col("families") > 2) & (others < 0.25), -1)
+        .when((F.col("families") == 1) & (F.col("givens") == 1) & (F.col("n") >= 5), -1)
+        .otherwise(0)
+    )
+    common = lambda low, n: (F.coalesce(F.col(low), F.lit(0)) >= 3) & (F.coalesce(F.col(low), F.lit(0)) > 2 * F.col(n))
+    return known.select("first", "last", company.alias("company"), F.when(common("low_first", "n_first") | common("low_last", "n_last"), -1).otherwise(0).alias("lower"))
+
+
+def _learn(sample: pa.Table, beliefs: dict[str, dict[int, float]]) -> dict[str, np.ndarray]:
+    """Type -> weights of its classifier, trained on the beliefs in the sample's vote patterns."""
+    rows: dict[str, list[tuple]] = {}
+    for r in zip(*(sample.column(c).to_pylist() for c in ("kind", "pattern", "cells", "key", "start"))):
+        rows.setdefault(r[0], []).append(r)
+    weights = {}
+    for kind, found in rows.items():
+        found.sort(key=lambda r: (r[3], r[4], r[1]))
+        n = _labelers(kind)
+        x = rows_of([r[2] for r in found], np.array([decode(r[1], n) for r in found]))
+        weights[kind] = train(x, np.array([beliefs[kind][r[1]] for r in found]), CELLS + 3 * n + 2)
+    return weights
 
 
 def find_items(texts: DataFrame) -> DataFrame:
@@ -299,30 +131,53 @@ def find_items(texts: DataFrame) -> DataFrame:
 
     Null and empty texts hold no items. Repeated texts, however often, are read once if ``key`` stands for the
     text. Texts of any length are read whole. Items never overlap: of overlapping candidates the one with the higher
-    probability stays, then the longer, then the first by type.
+    probability stays, then the longer, then the first by type; a name never wins over another type. Only the classifier is fitted to a sample (``SAMPLE``
+    candidates a type, chosen by hash); reliabilities, gazetteer and word counts come from all texts.
     """
-    found = checkpoint(texts.where("text is not null and text <> ''").select("key", "text").mapInArrow(_label, "key string, kind string, start int, stop int, item string, pattern long"))
-    seen = found.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("n")).limit(MAX_PATTERNS + 1).collect()
-    if len(seen) > MAX_PATTERNS:
-        raise ValueError("more vote patterns than labelers of this number can give")
-    grouped: dict[str, list[tuple[int, int]]] = {}
-    for r in seen:
-        grouped.setdefault(r.kind, []).append((r.pattern, r.n))
-    scores = [(kind, code, p) for kind, table in fit(grouped).items() for code, p in table.items()]
     spark = texts.sparkSession
-    table = spark.createDataFrame(scores, "kind string, pattern long, p double")
-    sure = found.join(F.broadcast(table), ["kind", "pattern"]).where("p >= 0.5").drop("pattern")
+    schema = "key string, kind string, start int, stop int, item string, pattern long, cells array<int>, first string, last string"
+    everything = checkpoint(texts.where("text is not null and text <> ''").select("key", "text").mapInArrow(_label, schema))
+    found, lower = everything.where(F.col("kind") != _LOWER), everything.where(F.col("kind") == _LOWER)
+    counted = lambda df: df.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("n"))
+    base = 3 ** len(LABELERS["name"])
+    # Until the corpus has voted, its labelers abstain.
+    names = found.where("kind = 'name'").withColumn("pattern", F.col("pattern") + F.lit(base * 4).cast("long"))
+    first_round = _beliefs(counted(names)).get("name", {})
+    if first_round:
+        said = _pair_votes(names, lower, first_round)
+        by_pair = F.expr(f"pattern + company * {base} + lower * {base * 3}").cast("long")
+        names = names.join(said, ["first", "last"]).withColumn("pattern", by_pair).select(*found.columns)
+    spans = checkpoint(found.where("kind <> 'name'").unionByName(names).drop("first", "last"))
+    totals = {r.kind: r.n for r in spans.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a type
+    beliefs = _beliefs(counted(spans))
+    parts = 1 << 40
+    share = F.coalesce(*[F.when(F.col("kind") == k, F.lit(min(parts, SAMPLE * parts // n))) for k, n in totals.items()], F.lit(0))
+    sample = spans.where(F.pmod(F.xxhash64("kind", "key", "start", "stop"), F.lit(parts)) < share)
+    weights = spark.sparkContext.broadcast(_learn(sample.select("kind", "pattern", "cells", "key", "start").toArrow(), beliefs))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, p = np.array(batch.column("kind").to_pylist(), dtype=object), np.zeros(batch.num_rows)
+            patterns, cells = batch.column("pattern").to_pylist(), batch.column("cells").to_pylist()
+            for kind, w in weights.value.items():
+                at = np.nonzero(kinds == kind)[0]
+                if len(at):
+                    p[at] = score(w, rows_of([cells[i] for i in at], np.array([decode(patterns[i], _labelers(kind)) for i in at])))
+            keep = pa.array(np.nonzero(p >= 0.5)[0])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(keep) for c in ("key", "kind", "start", "stop", "item")), pa.array(p[p >= 0.5])], ["key", "kind", "start", "stop", "item", "p"])
+
+    plain = "key string, kind string, start int, stop int, item string"
+    sure = spans.mapInArrow(decide, plain + ", p double")
     # A text's candidates come together and in turn, so that each task holds those of one text at a time.
-    kind = "key string, kind string, start int, stop int, item string"
-    return sure.repartition("key").sortWithinPartitions("key").mapInArrow(_settle, kind)
+    return sure.repartition("key").sortWithinPartitions("key").mapInArrow(_settle, plain)
 
 
 def _clear(rows: list[dict]) -> list[dict]:
-    """Of one text's candidates those that stay: the more certain, then the longer, then the first by type, none overlapping."""
+    """Of one text's candidates those that stay, none overlapping: what has a form of its own before names (streets hold names), the more certain, then the longer, then the first by type."""
     taken: list[dict] = []
     starts: list[int] = []
     stops: list[int] = []
-    for r in sorted(rows, key=lambda r: (-round(r["p"], 3), r["start"] - r["stop"], TYPES.index(r["kind"]), r["start"])):
+    for r in sorted(rows, key=lambda r: (r["kind"] == "name", -round(r["p"], 3), r["start"] - r["stop"], TYPES.index(r["kind"]), r["start"])):
         at = bisect.bisect_left(starts, r["start"])
         if (at == 0 or stops[at - 1] <= r["start"]) and (at == len(starts) or starts[at] >= r["stop"]):
             starts.insert(at, r["start"])

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mnemospark.runtime import checkpoint
+
 MAX_EDITS = 2
 MIN_SCORE = 0.75
 #: Words that join the parts of a value and say nothing.
@@ -100,24 +102,30 @@ def map_to_canonical(values: DataFrame, canon: DataFrame, min_score: float = MIN
     Ties go to the entry that comes first in the alphabet. Very long values cost only their own words: each distinct word is
     repaired once. Null and repeated entries count once; an empty list leaves every value unmatched.
     """
-    values = values.where("value is not null").select("value").distinct().withColumn("words", F.array_distinct(_words("value")))
-    entries = canon.where("entry is not null").select("entry").distinct().withColumn("words", F.array_distinct(_words("entry"))).where(F.size("words") > 0)
+    values = checkpoint(values.where("value is not null").select("value").distinct().withColumn("words", F.array_distinct(_words("value"))))
+    entries = checkpoint(canon.where("entry is not null").select("entry").distinct().withColumn("words", F.array_distinct(_words("entry"))).where(F.size("words") > 0))
     n = entries.agg(F.count(F.lit(1)).alias("n"))
     idf = entries.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("word", F.log(1 + F.col("n") / F.col("df")).alias("idf"))
 
     # Each distinct word and the vocabulary forms that it may stand for.
-    words = values.select(F.explode("words").alias("token")).distinct()
-    forms = _vocabulary(entries)
-    near = (
-        words.select("token", F.explode(_deletions("token")).alias("rest"))
+    words = checkpoint(values.select(F.explode("words").alias("token")).distinct())
+    forms = checkpoint(_vocabulary(entries))
+    # A word that is longer than the longest form by more letters than may be deleted is near to none of them.
+    longest = forms.agg(F.coalesce(F.max(F.length("form")), F.lit(0)).alias("longest"))
+    fitting = words.crossJoin(F.broadcast(longest)).where(F.length("token") <= F.col("longest") + MAX_EDITS)  # one row
+    # Distances cost by the row, not by the byte, so the pairs are dealt out by number.
+    parts = max(values.sparkSession.sparkContext.defaultParallelism, -(-words.count() // 10_000))
+    near = checkpoint(
+        fitting.select("token", F.explode(_deletions("token")).alias("rest"))
         .join(forms.select("form", F.explode(_deletions("form")).alias("rest")), "rest")
         .select("token", "form")
+        .repartition(parts, "token", "form")
         .distinct()
         .withColumn("d", _distance("token", "form"))
         # Long words that share such a string may be three edits apart, an exchange costing a deletion on either side.
         .where(F.col("d") <= F.when(F.length("form") >= 8, MAX_EDITS + 1).otherwise(MAX_EDITS))
         .select("token", "form", (1 - F.col("d") / F.greatest(F.length("token"), F.length("form"))).alias("sim"))
-    )
+    )  # read twice below
     start = F.greatest(F.lit(4), F.ceil(F.length("form") / 2), F.when(F.size("words") > 1, F.col("least")).otherwise(F.lit(0))).cast("int")
     beginnings = (
         forms.withColumn("from", start)

@@ -62,9 +62,9 @@ def mix_sources(sizes: DataFrame, targets: list[tuple[str, float, int]], slots:
         return spark.createDataFrame([], f"slot int, source string, position long, doc_id {dict(sizes.dtypes)['doc_id']}, copy int, tokens long")
     shares = {s: w / weight for s, w, _ in present}
     total = min(n * held[s] / shares[s] for s, _, n in present)
-    # A block holds at least the longest document, which then runs over into at most the next block of its source.
-    longest = usable.agg(F.max("tokens").alias("m")).first().m
-    slots = max(1, min(slots, int(total // longest)))
+    # A document belongs to the block that it begins in; a long one runs on through the next blocks of its source,
+    # in which then no other begins. So the number of slots doesn't hang on the longest document.
+    slots = max(1, min(slots, int(total)))
     block = total / slots
     needs = [(s, shares[s] * total, float(held[s]), min(n, math.ceil(shares[s] * total / held[s] + 1e-9))) for s, _, n in present]
     table = F.broadcast(spark.createDataFrame(needs, "source string, need double, held double, copies int"))
@@ -85,9 +85,22 @@ def mix_sources(sizes: DataFrame, targets: list[tuple[str, float, int]], slots:
 
 
 def mix_report(mixed: DataFrame, targets: list[tuple[str, float, int]]) -> DataFrame:
-    """Per source: target and actual share of all tokens, documents used and how often one was used at most."""
+    """Per source: target and actual share of all tokens, documents used, how often one was used at most, slots and deviation.
+
+    ``largest_deviation`` is the most by which the source's tokens, at the end of any slot of the output, differ from its
+    actual share of the tokens so far, as a share of all tokens; ``slots`` is the number of slots that documents begin in.
+    """
     wanted = mixed.sparkSession.createDataFrame(targets, "source string, target_share double, max_repeats int")
-    by_source = mixed.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("uses"), (F.max("copy") + 1).alias("most_repeats"))
-    total = by_source.agg(F.sum("tokens").alias("total"))
-    joined = F.broadcast(wanted).join(by_source, "source", "left").join(F.broadcast(total))  # one row a source
-    return joined.select("source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("uses", F.lit(0)).alias("uses"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), F.coalesce(F.col("tokens") / F.col("total"), F.lit(0.0)).alias("actual_share"))
+    per_slot = checkpoint(mixed.groupBy("slot", "source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("uses"), F.max("copy").alias("copy")))  # at most slots x sources rows
+    by_source = per_slot.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.sum("uses").alias("uses"), (F.max("copy") + 1).alias("most_repeats"))
+    total = per_slot.agg(F.sum("tokens").alias("total"), F.countDistinct("slot").alias("slots"))
+    by_slot = per_slot.groupBy("slot").agg(F.sum("tokens").alias("all"))
+    grid = by_slot.crossJoin(F.broadcast(by_source.select("source", F.col("tokens").alias("held"))))
+    upto = Window.partitionBy("source").orderBy("slot")
+    run = grid.join(per_slot.select("slot", "source", "tokens"), ["slot", "source"], "left").select("source", "held", F.sum(F.coalesce("tokens", F.lit(0))).over(upto).alias("own"), F.sum("all").over(upto).alias("all"))
+    off = run.crossJoin(F.broadcast(total)).groupBy("source").agg(F.max(F.abs(F.col("own") - F.col("all") * F.col("held") / F.col("total")) / F.col("total")).alias("largest_deviation"))
+    joined = F.broadcast(wanted).join(by_source, "source", "left").join(off, "source", "left").join(F.broadcast(total))  # one row a source
+    count = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return joined.select(
+        "source", "target_share", "max_repeats", count("tokens"), count("uses"), count("most_repeats"), F.coalesce(F.col("tokens") / F.col("total"), F.lit(0.0)).alias("actual_share"), "slots", F.coalesce("largest_deviation", F.lit(0.0)).alias("largest_deviation")
+    )

@@ -19,43 +19,58 @@ from pyspark.sql import functions as F
 
 from mnemospark.runtime import checkpoint
 
-#: Buckets per capacity, cells of the histogram that the programme tells apart, and parts of a bucket that are ranked apart.
-BUCKETS, CELLS, PARTS = 96, 1024, 64
+#: Buckets per capacity, and items that one task ranks within a bucket.
+BUCKETS, RANKED = 96, 1_000_000
 
 
-def bucket_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS, cells: int = CELLS) -> np.ndarray:
+def _layer(best: np.ndarray, lengths: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One bucket more: for each last length the least padded size and the length after which the last bucket starts.
+
+    The best start never moves back as the last length grows (the cost is Monge), so the starts of the middle lengths bound
+    those of the rest: all lengths of one level of the halving are worked out together, a level in linear time.
+    """
+    m = len(lengths)
+    value, choice = best.copy(), np.zeros(m, dtype=np.int64)
+    first, last, low, high = np.array([1]), np.array([m - 1]), np.array([0]), np.array([m - 2])
+    while len(first):
+        mid = (first + last) // 2
+        top = np.minimum(high, mid - 1)
+        n = top - low + 1
+        begin = np.concatenate([[0], np.cumsum(n)[:-1]])
+        j = np.arange(n.sum()) - np.repeat(begin, n) + np.repeat(low, n)
+        cost = best[j] + np.repeat(lengths[mid], n) * (np.repeat(upto[mid + 1], n) - upto[j + 1])
+        least = np.minimum.reduceat(cost, begin)
+        at = np.minimum.reduceat(np.where(cost == np.repeat(least, n), j, m), begin)
+        value[mid], choice[mid] = least, at
+        first, last, low, high = (np.concatenate(x) for x in ((first, mid + 1), (mid - 1, last), (low, at), (at, high)))
+        keep = first <= last
+        first, last, low, high = first[keep], last[keep], low[keep], high[keep]
+    return value, choice
+
+
+def bucket_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
     """Upper boundaries that minimise the sum of (boundary - length) over all items, by dynamic programming.
 
-    ``lengths`` are distinct and ascending. Beyond ``cells`` lengths, neighbours are first merged to cells of about equal
-    share of tokens, each with its longest length as the boundary.
+    ``lengths`` are distinct and ascending; each may be a boundary.
     """
-    if len(lengths) > cells:
-        share = np.cumsum(counts * lengths, dtype=float)
-        cell = np.minimum((share / share[-1] * cells).astype(int), cells - 1)
-        last = np.flatnonzero(np.diff(cell, append=cells))
-        n = np.diff(np.concatenate([[0], np.cumsum(counts)[last]]))
-        lengths, counts = lengths[last], n
-    m, k = len(lengths), min(buckets, len(lengths))
+    lengths, m = np.asarray(lengths, dtype=float), len(lengths)
+    k = min(buckets, m)
     upto = np.concatenate([[0], np.cumsum(counts)]).astype(float)
     best = lengths * upto[1:]  # padded size of the first i + 1 lengths in one bucket
-    choice = np.zeros((k, m), dtype=np.int64)
-    for b in range(1, k):
-        # The last bucket starts after length j: best[j] + boundary * items beyond j.
-        cost = best[None, :] + lengths[:, None] * (upto[1:, None] - upto[None, 1:])
-        cost[np.triu_indices(m)] = np.inf
-        cost[0, 0] = best[0]
-        choice[b] = np.argmin(cost, axis=1)
-        best = np.minimum(cost[np.arange(m), choice[b]], best) if b else best
+    choices = []
+    for _ in range(1, k):
+        value, choice = _layer(best, lengths, upto)
+        # Fewer buckets are as good where another one saves nothing.
+        choice[value >= best] = -1
+        best = np.minimum(value, best)
+        choices.append(choice)
     # Walk back through the choices.
     at, found = m - 1, [m - 1]
-    for b in range(k - 1, 0, -1):
-        if at == 0:
-            break
-        before = int(choice[b][at])
-        if before < at:
-            found.append(before)
-            at = before
-    return lengths[np.array(sorted(set(found)))]
+    for choice in reversed(choices):
+        if choice[at] >= 0 and at > 0:
+            at = int(choice[at])
+            found.append(at)
+    return lengths[np.array(sorted(set(found)))].astype(np.int64)
 
 
 def fill_plan(boundaries: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
@@ -107,16 +122,18 @@ def pack(sizes: DataFrame, profiles: list[tuple[str, int]]) -> DataFrame:
     for name, _ in profiles:
         own = histogram[histogram.profile == name].sort_values("tokens")
         bounds[name] = bucket_boundaries(own.tokens.to_numpy(), own.n.to_numpy()) if len(own) else np.array([1])
+    most = int(histogram.groupby("profile").n.sum().max()) if len(histogram) else 0
+    parts_each = max(64, -(-most // RANKED))
     edges = spark.createDataFrame([(n, [int(x) for x in b]) for n, b in bounds.items()], "profile string, bounds array<long>")
     bucket = F.expr("size(filter(bounds, x -> x < tokens))")
     placed = (
         rest.join(F.broadcast(edges), "profile")
         .withColumn("bucket", bucket.cast("long"))
-        .withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)))
+        .withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts_each)))
         .select("profile", "doc_id", "piece", "tokens", "bucket", "part")
     )
     placed = checkpoint(placed.withColumn("within", F.row_number().over(Window.partitionBy("profile", "bucket", "part").orderBy("doc_id", "piece")) - 1))
-    parts = placed.groupBy("profile", "bucket", "part").agg(F.count(F.lit(1)).alias("n"))  # at most profiles * BUCKETS * PARTS rows
+    parts = placed.groupBy("profile", "bucket", "part").agg(F.count(F.lit(1)).alias("n"))  # one row for at most RANKED items
     before = parts.withColumn("before", F.sum("n").over(Window.partitionBy("profile", "bucket").orderBy("part")) - F.col("n"))
     counted = before.groupBy("profile", "bucket").agg(F.sum("n").alias("n")).toPandas()
     pieces = every.withColumn("piece", F.when(F.col("tokens") % F.col("capacity") == 0, full - 1).otherwise(full)).where("piece > 0")
@@ -135,18 +152,18 @@ def pack(sizes: DataFrame, profiles: list[tuple[str, int]]) -> DataFrame:
         rows.sort()
         plans[name] = (*(np.array([r[i] for r in rows], dtype=np.int64) for i in range(3)), width)
         containers[name] = base
-    ranked = placed.join(F.broadcast(before.drop("n")), ["profile", "bucket", "part"]).select("profile", "doc_id", "piece", "tokens", "bucket", (F.col("before") + F.col("within")).alias("rank"))
+    ranked = placed.join(before.drop("n"), ["profile", "bucket", "part"]).select("profile", "doc_id", "piece", "tokens", "bucket", (F.col("before") + F.col("within")).alias("rank"))
     kind = dict(sizes.dtypes)["doc_id"]
     packed = ranked.mapInArrow(_assigner(plans), f"profile string, doc_id {kind}, piece long, tokens long, container long")
     # Full pieces of oversized items get containers of their own, numbered after the others by running totals.
     first = spark.createDataFrame(list(containers.items()), "profile string, first long")
-    by_part = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)))
+    by_part = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts_each)))
     totals = by_part.groupBy("profile", "part").agg(F.sum("piece").alias("n"))
     offsets = totals.withColumn("offset", F.sum("n").over(Window.partitionBy("profile").orderBy("part")) - F.col("n")).drop("n")
     run = F.sum("piece").over(Window.partitionBy("profile", "part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("piece")
     split = (
         by_part.withColumn("run", run)
-        .join(F.broadcast(offsets), ["profile", "part"])
+        .join(offsets, ["profile", "part"])
         .join(F.broadcast(first), "profile")
         .select("profile", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("piece") - 1)).alias("at"), "capacity", (F.col("first") + F.col("offset") + F.col("run")).alias("base"))
         .select("profile", "doc_id", F.col("at").alias("piece"), F.col("capacity").cast("long").alias("tokens"), (F.col("base") + F.col("at")).alias("container"))

@@ -16,7 +16,7 @@ DEFAULT_TOKENIZER = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_5
 # Fixed value: how the byte-pair vocabulary of 50,257 entries cuts text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts are encoded in stretches of about this many characters, cut where a single space stands between words: no
-#: token of this vocabulary spans such a place, so the count is exact. A run without any such place is cut at ten times that.
+#: token of this vocabulary spans such a place, so the count is exact. A run without any such place is encoded whole, however long.
 STRETCH = 20_000
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
@@ -33,8 +33,8 @@ def encoding(path: str):
 def count_tokens(text: str, path: str) -> int:
     own, at, total = encoding(path), 0, 0
     while at < len(text):
-        cut = _BETWEEN.search(text, at + STRETCH, at + 10 * STRETCH)
-        stop = cut.start() if cut else min(len(text), at + 10 * STRETCH)
+        cut = _BETWEEN.search(text, at + STRETCH)
+        stop = cut.start() if cut else len(text)
         total += len(own.encode_ordinary(text[at:stop]))
         at = stop
     return total

@@ -12,6 +12,8 @@ round would end, is how a circle shows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +36,8 @@ def parent_links(nodes: DataFrame, node: str = "id", parent: str = "superseded_b
     return links.distinct().join(known, "parent").groupBy("node").agg(F.min("parent").alias("parent"))
 
 
-def _coin(node: str, step: int):
-    return F.pmod(F.xxhash64(node, F.lit(step)), F.lit(2))
+def _draw(node: str, step: int):
+    return F.xxhash64(node, F.lit(step))
 
 
 def resolve_hierarchy(links: DataFrame, with_paths: bool = True) -> DataFrame:
@@ -56,40 +58,44 @@ def resolve_hierarchy(links: DataFrame, with_paths: bool = True) -> DataFrame:
     edges = links.select("node", "parent", F.lit(1).alias("steps"), F.lit(None).cast("string").alias("low"), none.alias("via"))
     # A parent without a parent is a root of the forest.
     roots = links.select(F.col("parent").alias("node")).join(links.select("node"), "node", "left_anti").distinct()
-    done = checkpoint(roots.select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), none.alias("path")))
     rounds: list[DataFrame] = []
     for step in range(MAX_ROUNDS):
         children = edges.groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("children"), F.min("node").alias("child"))
-        # Rake: a leaf goes. Compress: v with the only child c goes if v's coin is 1 and c's is 0, so that no neighbour
-        # is spliced out together with it. A child raked in the same round is replayed after v.
-        spliced = (F.col("children") == 1) & (F.col("child") != F.col("node")) & (F.col("parent") != F.col("node")) & (_coin("node", step) == 1) & (_coin("child", step) == 0)
-        marked = checkpoint(
-            edges.join(children, "node", "left").withColumn("fate", F.when(F.col("children").isNull(), "raked").when(spliced, "spliced").otherwise("kept"))
-        )
-        rounds.append(marked.where("fate <> 'kept'").drop("children"))
-        kept = marked.where("fate = 'kept'").select("node", "parent", "steps", "low", "via")
-        if kept.where("node <> parent").isEmpty():
-            edges = kept
-            break
+        # Rake: a leaf goes. Compress: v with the only child c goes if it drew more than both c and its parent, so that no
+        # neighbour is spliced out together with it.
+        drawn = (_draw("node", step) > _draw("child", step)) & (_draw("node", step) > _draw("parent", step))
+        spliced = (F.col("children") == 1) & (F.col("child") != F.col("node")) & (F.col("parent") != F.col("node")) & drawn
+        marked = edges.join(children, "node", "left").withColumn("fate", F.when(F.col("children").isNull(), "raked").when(spliced, "spliced").otherwise("kept"))
         over = marked.where("fate = 'spliced'").select(
             F.col("child").alias("node"), F.col("node").alias("mid"), F.col("parent").alias("up"), F.col("steps").alias("more"), F.col("low").alias("lower"), F.col("via").alias("rest")
         )
-        edges = kept.join(over, "node", "left").select(
-            "node",
-            F.coalesce("up", "parent").alias("parent"),
-            (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
-            F.least("low", "mid", "lower").alias("low"),
-            F.when(F.col("mid").isNull(), F.col("via")).otherwise(via("via", F.array("mid"), "rest")).alias("via"),
+        # Whoever hung from a spliced node now hangs from that node's parent, also a leaf that is raked in the same
+        # round: all that goes in a round hangs from what stays.
+        moved = checkpoint(
+            marked.drop("children", "child").join(over, "node", "left").select(
+                "node",
+                "fate",
+                F.coalesce("up", "parent").alias("parent"),
+                (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
+                F.least("low", "mid", "lower").alias("low"),
+                F.when(F.col("mid").isNull(), F.col("via")).otherwise(via("via", F.array("mid"), "rest")).alias("via"),
+            )
         )
+        rounds.append(moved.where("fate <> 'kept'"))
+        edges = moved.where("fate = 'kept'").drop("fate")
+        if edges.where("node <> parent").isEmpty():
+            break
     else:
         raise RuntimeError(f"the contraction didn't end within {MAX_ROUNDS} rounds")
 
     # Cores: one node that is its own parent stands for a circle through the nodes it skips.
     no_path = F.lit(None).cast("array<string>")
-    done = done.unionByName(edges.select("node", F.least("node", "low").alias("root"), F.lit(CYCLE_DEPTH).alias("depth"), no_path.alias("path")))
-    for marked in reversed(rounds):
-        first = checkpoint(done.unionByName(_replay(marked.where("fate = 'spliced'"), done, with_paths)))
-        done = checkpoint(first.unionByName(_replay(marked.where("fate = 'raked'"), first, with_paths)))
+    top = roots.select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), none.alias("path"))
+    parts = [checkpoint(top.unionByName(edges.select("node", F.least("node", "low").alias("root"), F.lit(CYCLE_DEPTH).alias("depth"), no_path.alias("path"))))]
+    # Each round's nodes are written once; what they hang from was removed in a later round or never.
+    for batch in reversed(rounds):
+        parts.append(checkpoint(_replay(batch, reduce(DataFrame.unionByName, parts), with_paths)))
+    done = reduce(DataFrame.unionByName, parts)
     found = done.join(links, "node", "left_semi")
     if not with_paths:
         return found.drop("path")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.config import MAINTENANCE, SCORING, Maintenance, Scoring
 from mnemospark.functions.scores import days_between, micros, seconds_between
+from mnemospark.operators.folds import last_fold
 
 
 def utilities(events: DataFrame) -> DataFrame:
@@ -19,25 +22,29 @@ def utilities(events: DataFrame) -> DataFrame:
     return rows.select("id", "memory_id", "session_id", "created_at", F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)).alias("utility")).dropDuplicates(["id"])
 
 
-def _in_order(last_weight: float):
-    """Fold of a sorted array of (time, id, utility) into the exponentially weighted mean, seeded by the first."""
-    first = F.col("series")[0]["utility"]
-    return F.aggregate(F.slice("series", 2, F.size("series")), first, lambda acc, x: F.lit(last_weight) * x["utility"] + (1 - last_weight) * acc)
+#: Newest ratings that the smoothed mean is made of: with the weight at hand those before them add less than 1e-30 to it.
+NEWEST = 128
 
 
 def feedback_summary(feedback: DataFrame, now: Column, params: Scoring = SCORING) -> DataFrame:
     """Per memory: number of ratings, last and mean utility, smoothed utility and the mean weighted by age.
 
-    Ratings are ordered by time, then id; those without a time come first. The smoothed mean needs them in order; a
-    memory's ratings are one row's array, some hundred bytes per thousand.
+    Ratings are ordered by time, then id; those without a time come first. The smoothed mean is a sum: the i-th newest
+    rating weighs a * (1 - a)^i, the very first (1 - a)^i. Ratings beyond the newest ``NEWEST`` weigh less than a double can
+    tell, so each map task sends on no more than these, however hot a memory is. Counts and means are of all ratings.
     """
-    by_memory = feedback.groupBy("memory_id").agg(
+    age = F.exp(-0.01 * days_between(now, F.col("created_at")))
+    totals = feedback.groupBy("memory_id").agg(
         F.count(F.lit(1)).alias("fb_count"),
         F.avg("utility").alias("fb_mean"),
-        F.array_sort(F.collect_list(F.struct("created_at", "id", "utility"))).alias("series"),
-        (F.sum(F.exp(-0.01 * days_between(now, F.col("created_at"))) * F.col("utility")) / F.sum(F.when(F.col("created_at").isNotNull(), F.exp(-0.01 * days_between(now, F.col("created_at")))))).alias("fb_time_weighted"),
+        (F.sum(age * F.col("utility")) / F.sum(F.when(F.col("created_at").isNotNull(), age))).alias("fb_time_weighted"),
     )
-    return by_memory.select("memory_id", "fb_count", "fb_mean", F.element_at("series", -1)["utility"].alias("fb_last"), _in_order(params.ewma_alpha).alias("fb_ewma"), "fb_time_weighted")
+    newest = Window.partitionBy("memory_id").orderBy(F.desc_nulls_last("created_at"), F.desc("id"))
+    late = feedback.select("memory_id", "created_at", "id", "utility").withColumn("at", F.row_number().over(newest)).where(F.col("at") <= NEWEST)
+    fade = F.pow(F.lit(1 - params.ewma_alpha), F.col("at") - 1)
+    weight = F.when(F.col("at") == F.col("fb_count"), fade).otherwise(params.ewma_alpha * fade)
+    smooth = late.join(totals.select("memory_id", "fb_count"), "memory_id").groupBy("memory_id").agg(F.max(F.when(F.col("at") == 1, F.col("utility"))).alias("fb_last"), F.sum(weight * F.col("utility")).alias("fb_ewma"))
+    return totals.join(smooth, "memory_id").select("memory_id", "fb_count", "fb_mean", "fb_last", "fb_ewma", "fb_time_weighted")
 
 
 def beta_prior(feedback: DataFrame, params: Scoring = SCORING) -> DataFrame:
@@ -57,22 +64,28 @@ def beta_prior(feedback: DataFrame, params: Scoring = SCORING) -> DataFrame:
     )
 
 
+def half_up(x: float, places: int) -> float:
+    """Rounded as Spark rounds: by the decimal digits that a number is written with, halves away from zero."""
+    return float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP))
+
+
 def confidence_after(feedback: DataFrame, start: DataFrame, params: Maintenance = MAINTENANCE) -> DataFrame:
     """(memory_id, confidence_before, confidence_after): ratings applied one after the other.
 
     A useful rating closes part of the gap to 1, a useless one takes off a share; each step is clamped and rounded to four
     places. ``start`` gives (memory_id, confidence), null meaning the default; ratings of unknown memories are dropped.
     """
-    series = feedback.groupBy("memory_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "id", "utility"))).alias("series"))
-    both = series.join(start.select("memory_id", F.coalesce("confidence", F.lit(params.confidence_start)).alias("confidence_before")), "memory_id")
+    known = start.select("memory_id", F.coalesce("confidence", F.lit(params.confidence_start)).alias("confidence_before"))
+    rows = feedback.select("memory_id", "created_at", "id", "utility").join(known, "memory_id")
 
-    def step(c: Column, x: Column) -> Column:
-        u = x["utility"]
-        grown = F.when(u >= params.useful, c + params.growth * u * (1 - c)).when(u < params.useless, c * (1 - params.shrink)).otherwise(c)
-        clamped = F.greatest(F.lit(params.confidence_low), F.least(F.lit(params.confidence_high), grown))
-        return F.when(F.abs(clamped - c) > 0.001, F.round(clamped, 4)).otherwise(c)
+    def step(c: float, row: dict) -> float:
+        u = row["utility"]
+        grown = c + params.growth * u * (1 - c) if u >= params.useful else c * (1 - params.shrink) if u < params.useless else c
+        clamped = max(params.confidence_low, min(params.confidence_high, grown))
+        return half_up(clamped, 4) if abs(clamped - c) > 0.001 else c
 
-    return both.select("memory_id", "confidence_before", F.aggregate("series", F.col("confidence_before"), step).alias("confidence_after"))
+    made = lambda first, c: {"memory_id": first["memory_id"], "confidence_before": first["confidence_before"], "confidence_after": c}
+    return last_fold(rows, ["memory_id"], ["created_at", "id"], lambda row: row["confidence_before"], step, made, "memory_id string, confidence_before double, confidence_after double")
 
 
 def burstiness(events: DataFrame) -> DataFrame:
@@ -123,6 +136,7 @@ def edge_weights_after(edges: DataFrame, feedback: DataFrame, params: Maintenanc
     one = edges.where("id is not null").dropDuplicates(["id"]).select("id", "source_id", "target_id", F.coalesce("weight", F.lit(0.5)).alias("weight"))
     ends = one.select("id", "weight", F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("memory_id")).where("memory_id is not null")
     rated = ends.join(feedback.select("memory_id", "created_at", F.col("id").alias("event"), "utility"), "memory_id")
-    series = rated.groupBy("id").agg(F.first("weight").alias("weight_before"), F.array_sort(F.collect_list(F.struct("created_at", "event", "utility"))).alias("series"))
-    step = lambda w, x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), w + F.when(x["utility"] >= params.useful, params.edge_up).otherwise(-params.edge_down)))
-    return series.select("id", "weight_before", F.aggregate("series", F.col("weight_before"), step).alias("weight_after"))
+    step = lambda w, row: max(0.0, min(1.0, w + (params.edge_up if row["utility"] >= params.useful else -params.edge_down)))
+    made = lambda first, w: {"id": first["id"], "weight_before": first["weight"], "weight_after": w}
+    kinds = dict(rated.dtypes)
+    return last_fold(rated.select("id", "weight", "created_at", "event", "utility"), ["id"], ["created_at", "event"], lambda row: row["weight"], step, made, f"id {kinds['id']}, weight_before double, weight_after double")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mnemospark.config import MAINTENANCE, Maintenance
 from mnemospark.functions.scores import days_between, effective_priority
 from mnemospark.functions.text import normal_themes
+from mnemospark.operators.folds import running_fold
 
 ACTIVE = "status = 'active'"
 
@@ -115,18 +116,17 @@ def health(memories: DataFrame, topics: DataFrame, feedback: DataFrame) -> DataF
 def token_batches(rows: DataFrame, group: str, order: list[str], budget: int) -> DataFrame:
     """``rows`` with a batch number per group: a new batch starts where the next item would overflow the budget.
 
-    The reset makes it a fold in order, over the sizes of one group at a time (8 bytes an item).
+    The reset makes it a fold in order: rows stream by sorted by group, and only the running batch is held.
     """
-    sized = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*order, F.col("tokens").cast("long").alias("tokens")))).alias("items"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("batch"), F.array().cast("array<int>").alias("out"))
 
-    def put(acc: Column, x: Column) -> Column:
-        over = (acc["used"] > 0) & (acc["used"] + x["tokens"] > budget)
-        batch = acc["batch"] + over.cast("int")
-        return F.struct(F.when(over, x["tokens"]).otherwise(acc["used"] + x["tokens"]).alias("used"), batch.alias("batch"), F.concat(acc["out"], F.array(batch)).alias("out"))
+    def step(state: tuple, row: dict) -> tuple:
+        used, batch = state
+        over = used > 0 and used + row["tokens"] > budget
+        return (row["tokens"], batch + 1) if over else (used + row["tokens"], batch)
 
-    folded = sized.select(group, F.arrays_zip("items", F.aggregate("items", start, put)["out"].alias("batch")).alias("z"))
-    return folded.select(group, F.explode("z").alias("z")).select(group, *[F.col(f"z.items.{c}").alias(c) for c in (*order, "tokens")], F.col("z.batch").alias("batch"))
+    kinds = dict(rows.dtypes)
+    sized = rows.select(group, *order, F.col("tokens").cast("long").alias("tokens"))
+    return running_fold(sized, [group], order, lambda row: (0, 0), step, lambda state: {"batch": state[1]}, f"{group} {kinds[group]}, " + ", ".join(f"{c} {kinds[c]}" for c in order) + ", tokens long, batch int")
 
 
 def theme_quality(memories: DataFrame, feedback: DataFrame, retrieved: DataFrame) -> DataFrame:
@@ -134,11 +134,13 @@ def theme_quality(memories: DataFrame, feedback: DataFrame, retrieved: DataFrame
 
     A memory's quality is its mean utility, 0.1 if it was only ever retrieved, and 0 if not even that.
     """
-    rated = feedback.groupBy("memory_id").agg(F.avg("utility").alias("mean"))
+    exact = lambda c: F.sum(c.cast("decimal(18,9)")).cast("double") / F.count(F.lit(1))  # noqa: E731  sums that don't hang on the order of rows
+    rated = feedback.groupBy("memory_id").agg(exact(F.col("utility")).alias("mean"))
     seen = retrieved.select("memory_id").distinct().withColumn("seen", F.lit(True))
     per = memories.where(ACTIVE).select(F.col("id").alias("memory_id"), normal_themes(F.col("themes")).alias("themes")).join(rated, "memory_id", "left").join(seen, "memory_id", "left")
     quality = F.coalesce("mean", F.when(F.col("seen"), 0.1).otherwise(0.0))
-    return per.select(F.explode("themes").alias("theme"), quality.alias("q")).groupBy("theme").agg(F.count(F.lit(1)).alias("memories"), F.avg("q").alias("quality"), (F.avg("q") < 0.5).alias("underserved"))
+    by_theme = per.select(F.explode("themes").alias("theme"), quality.alias("q")).groupBy("theme").agg(F.count(F.lit(1)).alias("memories"), exact(F.col("q")).alias("quality"))
+    return by_theme.withColumn("underserved", F.col("quality") < 0.5)
 
 
 def newest_per_topic(memories: DataFrame, n: int = 2) -> DataFrame:

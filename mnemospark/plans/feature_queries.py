@@ -25,7 +25,7 @@ def _fused(spark: SparkSession, folder: str) -> DataFrame:
 def features(spark: SparkSession, folder: str) -> DataFrame:
     now = P.now(spark, folder)
     timed = P.feedback(spark, folder).crossJoin(F.broadcast(now))  # one row
-    seen = P.events(spark, folder).where("event_type = 'retrieved'")
+    seen = P.events(spark, folder, "event_type = 'retrieved'")
     found = Y.ranking_features(
         _fused(spark, folder), P.search_queries(spark, folder), P.active(spark, folder), feedback_summary(timed, F.col("now")), degrees(table(spark, folder, "memory_edges")), burstiness(seen), now
     )

@@ -46,7 +46,7 @@ def feedback_edge_weights(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def retrieval_burstiness(spark: SparkSession, folder: str) -> DataFrame:
-    seen = P.events(spark, folder).where("event_type = 'retrieved'")
+    seen = P.events(spark, folder, "event_type = 'retrieved'")
     return B.burstiness(seen).select("memory_id", "events", r6("burstiness").alias("burstiness"))
 
 
@@ -65,7 +65,7 @@ def feedback_truth(spark: SparkSession, folder: str) -> DataFrame:
 def feedback_disappointed(spark: SparkSession, folder: str) -> DataFrame:
     """Recalls none of whose ratings exceeds 0.2: a failure to rank if the top score was 0.1 or more, else a gap in the store."""
     top = F.get_json_object("context", "$.top_score").cast("double")
-    meta = P.events(spark, folder).where("event_type = 'recall_meta'").select(F.col("id").alias("recall_id"), top.alias("top_score"))
+    meta = P.events(spark, folder, "event_type = 'recall_meta'").select(F.col("id").alias("recall_id"), top.alias("top_score"))
     worst = matched(spark, folder).groupBy("recall_id").agg(F.max("utility").alias("best"), F.count(F.lit(1)).alias("ratings")).where("best <= 0.2")
     return worst.join(meta, "recall_id").select("recall_id", "ratings", F.when(F.col("top_score") >= 0.1, "retrieval_failure").otherwise("coverage_gap").alias("miss"))
 
@@ -79,20 +79,20 @@ def feedback_co_useful(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def retrieval_queries_per_memory(spark: SparkSession, folder: str) -> DataFrame:
-    seen = P.events(spark, folder).where("event_type = 'retrieved'")
+    seen = P.events(spark, folder, "event_type = 'retrieved'")
     return seen.groupBy("memory_id").agg(F.count_distinct("query").alias("queries"), F.count(F.lit(1)).alias("events"), F.count_distinct("session_id").alias("sessions"))
 
 
 def retrieval_last_recall(spark: SparkSession, folder: str) -> DataFrame:
     """Per query its newest recall and that one's top score."""
-    meta = P.events(spark, folder).where("event_type = 'recall_meta' and query is not null and created_at is not null")
+    meta = P.events(spark, folder, "event_type = 'recall_meta' and query is not null and created_at is not null")
     newest = meta.groupBy("query").agg(F.max_by(F.struct("id", "context"), F.struct("created_at", "id")).alias("m"), F.count(F.lit(1)).alias("recalls"))
     return newest.select("query", F.col("m.id").alias("recall_id"), "recalls", F.get_json_object("m.context", "$.top_score").cast("double").alias("top_score"))
 
 
 def session_recency(spark: SparkSession, folder: str) -> DataFrame:
-    """Per query and memory returned: how many recalls earlier in the session it had last been returned."""
-    rows = P.events(spark, folder).where("event_type = 'retrieved' and session_id is not null and created_at is not null")
+    """Per memory returned: how many seconds earlier it had last been returned in the same session."""
+    rows = P.events(spark, folder, "event_type = 'retrieved' and session_id is not null and created_at is not null")
     order = Window.partitionBy("session_id", "memory_id").orderBy("created_at", "id")
     gap = F.unix_micros(F.col("created_at").cast("timestamp")) - F.unix_micros(F.lag("created_at").over(order).cast("timestamp"))
     found = rows.select("id", "memory_id", (gap / 1e6).alias("since"))

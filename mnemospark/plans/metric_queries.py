@@ -20,7 +20,7 @@ def _tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _ranking(spark: SparkSession, folder: str) -> DataFrame:
-    seen = P.events(spark, folder).where("event_type = 'retrieved' and query is not null and memory_id is not null and similarity_score is not null")
+    seen = P.events(spark, folder, "event_type = 'retrieved' and query is not null and memory_id is not null and similarity_score is not null")
     best = seen.groupBy("query", "memory_id").agg(F.max("similarity_score").alias("score"))
     placed = best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "memory_id")))
     return placed.join(_tokens(spark, folder), "memory_id", "left").fillna(0, ["tokens"])
@@ -76,7 +76,7 @@ def quality_confusions(spark: SparkSession, folder: str) -> DataFrame:
 
 def _rated(spark: SparkSession, folder: str) -> DataFrame:
     """Every rating with the score that its recall gave the memory."""
-    seen = P.events(spark, folder).where("event_type = 'retrieved' and similarity_score is not null and session_id is not null").select("memory_id", "query", F.col("similarity_score").alias("score"))
+    seen = P.events(spark, folder, "event_type = 'retrieved' and similarity_score is not null and session_id is not null").select("memory_id", "query", F.col("similarity_score").alias("score"))
     best = seen.groupBy("query", "memory_id").agg(F.max("score").alias("score"))
     return matched(spark, folder).where("query is not null").join(best, ["query", "memory_id"]).select(F.col("feedback_id").alias("key"), "memory_id", "score", "utility")
 

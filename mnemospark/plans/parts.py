@@ -22,8 +22,8 @@ def active(spark: SparkSession, folder: str) -> DataFrame:
     return memories(spark, folder).where("status = 'active'")
 
 
-def events(spark: SparkSession, folder: str) -> DataFrame:
-    return distinct_events(table(spark, folder, "memory_events"))
+def events(spark: SparkSession, folder: str, where: str = "true") -> DataFrame:
+    return distinct_events(table(spark, folder, "memory_events"), where)
 
 
 def now(spark: SparkSession, folder: str) -> DataFrame:

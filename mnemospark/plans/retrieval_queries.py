@@ -78,7 +78,7 @@ def recall_explored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _seen(spark: SparkSession, folder: str) -> DataFrame:
-    return R.co_retrieval(P.events(spark, folder).where("event_type = 'retrieved'"))
+    return R.co_retrieval(P.events(spark, folder, "event_type = 'retrieved'"))
 
 
 def recall_hebbian(spark: SparkSession, folder: str) -> DataFrame:
@@ -109,7 +109,7 @@ def recall_contradictions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def activation_spread(spark: SparkSession, folder: str) -> DataFrame:
-    """Activation from the links of the most linked memory of each topic, two hops far."""
+    """Activation from the links of the first memory of each topic by id, two hops far."""
     topics = P.active(spark, folder).where("topic_id is not null").select(F.col("id").alias("memory_id"), "topic_id")
     seeds = topics.groupBy(F.col("topic_id").alias("query_id")).agg(F.min("memory_id").alias("memory_id")).withColumn("score", F.lit(1.0))
     return R.spread_activation(seeds, R.adjacency(table(spark, folder, "memory_edges"))).select(F.col("query_id").alias("topic_id"), F.col("node").alias("memory_id"), r6("ppr").alias("ppr")).where("ppr > 0")

@@ -79,7 +79,7 @@ def themes_variants(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def themes_quality(spark: SparkSession, folder: str) -> DataFrame:
-    seen = P.events(spark, folder).where("event_type = 'retrieved'")
+    seen = P.events(spark, folder, "event_type = 'retrieved'")
     return M.theme_quality(P.memories(spark, folder), P.feedback(spark, folder), seen).withColumn("quality", r6("quality"))
 
 
@@ -102,7 +102,7 @@ def source_confidence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def similarity_buckets(spark: SparkSession, folder: str) -> DataFrame:
-    return M.similarity_histogram(P.events(spark, folder).where("event_type = 'retrieved'"))
+    return M.similarity_histogram(P.events(spark, folder, "event_type = 'retrieved'"))
 
 
 def topics_health(spark: SparkSession, folder: str) -> DataFrame:
@@ -147,7 +147,7 @@ def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
 def event_changes(spark: SparkSession, folder: str) -> DataFrame:
     """Events by type up to the last thirty days, and in them."""
-    dated = P.events(spark, folder).where("created_at is not null").crossJoin(F.broadcast(P.now(spark, folder)))  # one row
+    dated = P.events(spark, folder, "created_at is not null").crossJoin(F.broadcast(P.now(spark, folder)))  # one row
     recent = days_between(F.col("now"), F.col("created_at")) <= 30
     return M.changes(dated.where(~recent), dated.where(recent), "event_type")
 
@@ -217,8 +217,8 @@ b AS (SELECT *, first_value(theme) OVER w AS keep, first_value(memories) OVER w
 s AS (SELECT *, first_value(theme) OVER w AS keep, first_value(memories) OVER w AS n_keep, first_value(bare) OVER w AS keep_bare FROM k WINDOW w AS (PARTITION BY stem ORDER BY memories DESC, theme))""")
     + """SELECT theme AS variant, keep AS theme, 'form' AS reason, memories AS n_variant, n_keep AS n_theme FROM b WHERE theme <> keep
       UNION ALL SELECT theme, keep, 'ending', memories, n_keep FROM s WHERE theme <> keep AND bare <> keep_bare""",
-    "themes_quality": P.ctes(P.MEM, P.EVT, P.FB, "u AS (SELECT memory_id, avg(utility) AS mean FROM fb GROUP BY 1)", "seen AS (SELECT DISTINCT memory_id FROM evt WHERE event_type = 'retrieved')")
-    + f"""SELECT theme, count(*) AS memories, round(avg(q), 6) AS quality, avg(q) < 0.5 AS underserved FROM (
+    "themes_quality": P.ctes(P.MEM, P.EVT, P.FB, "u AS (SELECT memory_id, sum(utility::DECIMAL(18,9))::DOUBLE / count(*) AS mean FROM fb GROUP BY 1)", "seen AS (SELECT DISTINCT memory_id FROM evt WHERE event_type = 'retrieved')")
+    + f"""SELECT theme, count(*) AS memories, round(sum(q::DECIMAL(18,9))::DOUBLE / count(*), 6) AS quality, sum(q::DECIMAL(18,9))::DOUBLE / count(*) < 0.5 AS underserved FROM (
       SELECT unnest({P.NORMAL}) AS theme, coalesce(u.mean, CASE WHEN seen.memory_id IS NOT NULL THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END) AS q
       FROM act LEFT JOIN u ON u.memory_id = act.id LEFT JOIN seen ON seen.memory_id = act.id) GROUP BY theme""",
     "events_archived": P.ctes(P.EVT, P.NOW) + f"""SELECT CASE WHEN event_type = 'retrieved' AND {P.DAYS.format('now', 'created_at')} > 90 THEN 'archived' ELSE 'kept' END AS part,

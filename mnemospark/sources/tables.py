@@ -20,23 +20,13 @@ def latest_memories(memories: DataFrame) -> DataFrame:
     Rows without an id are dropped. The newest row is found by ``max_by`` with a partial aggregate on the map side,
     so that a much repeated id costs no more than any other.
     """
-    rest = [c for c in memories.columns if c != "id"]
     # Maps can't be compared, so they stay out of the ordering.
     order = F.struct("last_accessed", "recall_count", "startup_count", "reflect_count", "status", "summary")
-    return (
-        memories.where(F.col("id").isNotNull())
-        .groupBy("id")
-        .agg(F.max_by(F.struct(*rest), order).alias("__row"))
-        .select("id", *[F.col("__row")[c].alias(c) for c in rest])
-    )
-
-
-def distinct_events(events: DataFrame) -> DataFrame:
-    """One row per event id; repeated rows are copies of each other."""
-    rest = [c for c in events.columns if c != "id"]
-    return (
-        events.where(F.col("id").isNotNull())
-        .groupBy("id")
-        .agg(F.first(F.struct(*rest)).alias("__row"))
-        .select("id", *[F.col("__row")[c].alias(c) for c in rest])
-    )
+    # One aggregate a column, so that those nobody asks for are pruned down to the scan.
+    newest = [F.max_by(c, order).alias(c) for c in memories.columns if c != "id"]
+    return memories.where(F.col("id").isNotNull()).groupBy("id").agg(*newest).select(*memories.columns)
+
+
+def distinct_events(events: DataFrame, where: str = "true") -> DataFrame:
+    """One row per event id; repeated rows are copies of each other, so ``where`` filters before they are folded."""
+    return events.where(F.col("id").isNotNull()).where(where).dropDuplicates(["id"])

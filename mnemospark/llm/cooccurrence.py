@@ -52,6 +52,7 @@ def pair_association(baskets: DataFrame, min_joint: int = 1, min_lift: float = 0
     lift is n_ab * N / (n_a * n_b) and pmi its base-2 logarithm. An empty input gives an empty result; baskets of one
     item or none only count towards N. Ties and repeated rows need no rule, as every number is a count.
     """
+    baskets = checkpoint(baskets)  # read by three jobs
     single = checkpoint(baskets.select(F.explode("items").alias("item"), "weight").groupBy("item").agg(F.sum("weight").alias("n")).where(F.col("n") >= min_joint))
     # A pair can't be more frequent than either item, so rare items leave their baskets before pairs are made.
     key = [F.xxhash64("items").alias("one"), F.xxhash64(F.lit(7), "items").alias("two")]

@@ -113,11 +113,12 @@ def map_to_canonical(values: DataFrame, canon: DataFrame, min_score: float = MIN
     # A word that is longer than the longest form by more letters than may be deleted is near to none of them.
     longest = forms.agg(F.coalesce(F.max(F.length("form")), F.lit(0)).alias("longest"))
     fitting = words.crossJoin(F.broadcast(longest)).where(F.length("token") <= F.col("longest") + MAX_EDITS)  # one row
-    # Distances cost by the row, not by the byte, so the pairs are dealt out by number.
+    # Deletions and distances cost by the row, not by the byte, so words and pairs are dealt out by number.
     parts = max(values.sparkSession.sparkContext.defaultParallelism, -(-words.count() // 10_000))
     near = checkpoint(
-        fitting.select("token", F.explode(_deletions("token")).alias("rest"))
-        .join(forms.select("form", F.explode(_deletions("form")).alias("rest")), "rest")
+        fitting.repartition(parts, "token")
+        .select("token", F.explode(_deletions("token")).alias("rest"))
+        .join(forms.repartition(parts, "form").select("form", F.explode(_deletions("form")).alias("rest")), "rest")
         .select("token", "form")
         .repartition(parts, "token", "form")
         .distinct()

@@ -227,12 +227,12 @@ _PAIRS = "pr AS (SELECT DISTINCT least(source_id, target_id) AS low, greatest(so
 _COS = """vc AS (SELECT memory_id, any_value(embedding) AS e FROM memory_vec WHERE len(embedding) = 384 AND memory_id IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY memory_id),
 co AS (SELECT low, high, list_cosine_similarity(a.e::DOUBLE[], b.e::DOUBLE[]) AS cosine FROM pr JOIN vc a ON a.memory_id = low JOIN vc b ON b.memory_id = high)"""
 
+_VEC = "vc AS (SELECT memory_id, any_value(embedding)::DOUBLE[] AS e FROM memory_vec WHERE len(embedding) = 384 AND memory_id IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY memory_id)"
+
 SQL = {
-    "arrivals": P.ctes(P.MEM, "vc AS (SELECT memory_id, any_value(embedding)::DOUBLE[] AS e FROM memory_vec WHERE len(embedding) = 384 AND memory_id IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY memory_id)",
-      "wk AS (SELECT * FROM act WHERE (SELECT epoch_us(max(created_at)) FROM act) - epoch_us(created_at) < 7 * 86400000000)",
-      "k AS (SELECT w.id, a.id AS other, round(1 - list_cosine_similarity(x.e, y.e), 9) AS d, w.category = a.category AND a.created_at < w.created_at AS ok, w.base_priority AS p, a.base_priority AS q FROM wk w JOIN vc x ON x.memory_id = w.id, act a JOIN vc y ON y.memory_id = a.id QUALIFY row_number() OVER (PARTITION BY w.id ORDER BY d, a.id) <= 21)",
-      "n AS (SELECT id, min((d, other, p, q)) AS n FROM k WHERE ok AND other <> id GROUP BY id)")
-    + """SELECT wk.id, CASE WHEN n.n[1] < 0.1 AND n.n[3] > n.n[4] THEN 'superseded' WHEN n.n[1] < 0.1 THEN 'dedup_rejected' ELSE 'inserted' END AS outcome, n.n[2] AS other, round(n.n[1], 5) AS distance FROM wk LEFT JOIN n ON n.id = wk.id""",
+    "arrivals": P.ctes(P.MEM, _VEC, """k AS (SELECT w.id, min((round(1 - list_cosine_similarity(x.e, y.e), 9), a.id, w.base_priority, a.base_priority)) AS n FROM act w JOIN vc x ON x.memory_id = w.id
+      JOIN act a ON a.category = w.category AND a.created_at < w.created_at JOIN vc y ON y.memory_id = a.id GROUP BY w.id)""")
+    + """SELECT act.id, CASE WHEN n[1] < 0.1 AND n[3] > n[4] THEN 'superseded' WHEN n[1] < 0.1 THEN 'dedup_rejected' ELSE 'inserted' END AS outcome, n[2] AS other, round(n[1], 5) AS distance FROM act LEFT JOIN k ON k.id = act.id""",
     "search_keywords": P.ctes(P.MEM, P.REC, P.QRY, _TERMS, _INDEX, _KEYWORDS) + "SELECT query_id, memory_id, round(bm25, 6) AS bm25, rank::INTEGER AS rank FROM kw",
     "search_themes": P.ctes(P.MEM, P.REC, P.QRY, _TERMS, _THEMES) + "SELECT query_id, memory_id, overlap, rank::INTEGER AS rank FROM th",
     "search_phrases": P.ctes(P.MEM, P.REC, P.QRY, f"w AS (SELECT id, {P.WORDS.format('content')} AS w FROM act WHERE content IS NOT NULL)", f"q AS (SELECT query_id, {P.WORDS.format('query')} AS w FROM qry)")
@@ -262,8 +262,8 @@ SQL = {
       WHEN s NOT IN (SELECT id FROM memories WHERE id IS NOT NULL) THEN 'source' WHEN t NOT IN (SELECT id FROM memories WHERE id IS NOT NULL) THEN 'target' END AS missing FROM ed) WHERE missing IS NOT NULL""",
     "link_cosines": P.ctes(_PAIRS, _COS) + "SELECT low, high, round(cosine, 5) AS cosine FROM co",
     "link_diversity": P.ctes(_PAIRS, _COS) + "SELECT m AS memory_id, round(1 - avg(cosine), 5) AS diversity FROM (SELECT low AS m, cosine FROM co UNION ALL SELECT high, cosine FROM co) GROUP BY m",
-    "link_shadows": P.ctes(P.MEM, _PAIRS, _COS) + """SELECT m AS memory_id, round(max(CASE WHEN y.created_at > x.created_at THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, (cosine - 0.7::DOUBLE) / 0.25::DOUBLE)) ELSE 0.0 END), 5) AS shadow
-      FROM (SELECT low AS m, high AS o, cosine FROM co UNION ALL SELECT high, low, cosine FROM co) c JOIN mem x ON x.id = c.m JOIN mem y ON y.id = c.o GROUP BY m""",
+    "link_shadows": P.ctes(P.MEM, _VEC, "n AS (SELECT x.id, max(list_cosine_similarity(a.e, b.e)) AS c FROM mem x JOIN vc a ON a.memory_id = x.id JOIN mem y ON y.created_at > x.created_at JOIN vc b ON b.memory_id = y.id GROUP BY x.id)")
+    + "SELECT memory_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (coalesce(c, 0.0::DOUBLE) - 0.7::DOUBLE) / 0.25::DOUBLE)), 5) AS shadow FROM vc JOIN mem ON mem.id = memory_id LEFT JOIN n ON n.id = memory_id",
     "vectors_unindexed": P.ctes(P.MEM) + """SELECT memory_id, 'no_memory' AS problem FROM (SELECT DISTINCT memory_id FROM memory_vec WHERE memory_id IS NOT NULL) WHERE memory_id NOT IN (SELECT id FROM mem WHERE status <> 'deleted')
       UNION ALL SELECT id, 'no_vector' FROM mem WHERE status <> 'deleted' AND id NOT IN (SELECT memory_id FROM memory_vec WHERE memory_id IS NOT NULL AND len(embedding) = 384 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)""",
 }

@@ -142,7 +142,7 @@ def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     rows = live.select("id", F.col("category").alias("kind"), (-F.coalesce("base_priority", F.lit(0))).alias("place")).join(vectors, "id")
     near = nearest_before(rows, ties=True, least=0.849, digits=6)  # a little under the similarity of distance 0.15, which is rounded
     pairs = near.select(F.least("id", "other").alias("low"), F.greatest("id", "other").alias("high"), "cosine")
-    return M.near_duplicates(pairs, P.memories(spark, folder)).select("loser", "winner", F.round("distance", 5).alias("distance"))
+    return M.near_duplicates(pairs, P.memories(spark, folder)).select("loser", "winner", "distance")
 
 
 def event_changes(spark: SparkSession, folder: str) -> DataFrame:
@@ -185,11 +185,10 @@ SQL = {
       '  ID: ' || left(id, 8) || CASE WHEN len(th) > 0 THEN ' (' || coalesce(array_to_string(th, ', '), '') || ')' ELSE '' END)) AS text_md5 FROM t""",
     "summaries_made": P.ctes(P.MEM, r"f AS (SELECT id, content, coalesce(token_count, ceil(length(content) / 4)::INTEGER) AS n, regexp_extract(content, '^[^.!?\n]*[.!?]?') AS s FROM mem WHERE summary IS NULL AND content <> '')")
     + "SELECT id, CASE WHEN length(s) <= 80 THEN trim(s, ' ') ELSE substring(content, 1, 80) END AS summary FROM f WHERE n < 50",
-    "near_duplicates": P.ctes(P.MEM, "pr AS (SELECT DISTINCT least(source_id, target_id) AS low, greatest(source_id, target_id) AS high FROM memory_edges WHERE source_id IS NOT NULL AND target_id IS NOT NULL AND source_id <> target_id)",
-      "vc AS (SELECT memory_id, any_value(embedding) AS e FROM memory_vec WHERE len(embedding) = 384 AND memory_id IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY memory_id)",
-      """c AS (SELECT low, high, round(1 - list_cosine_similarity(a.e::DOUBLE[], b.e::DOUBLE[]), 6) AS d, coalesce(x.base_priority, 0) AS pa, coalesce(y.base_priority, 0) AS pb FROM pr JOIN vc a ON a.memory_id = low JOIN vc b ON b.memory_id = high
-        JOIN act x ON x.id = low JOIN act y ON y.id = high AND x.category = y.category)""")
-    + "SELECT loser, arg_min(winner, (d, winner)) AS winner, round(min(d), 5) AS distance FROM (SELECT CASE WHEN pb > pa THEN low ELSE high END AS loser, CASE WHEN pb > pa THEN high ELSE low END AS winner, d FROM c WHERE d <= 0.15) GROUP BY loser",
+    "near_duplicates": P.ctes(P.MEM, "vc AS (SELECT memory_id, any_value(embedding)::DOUBLE[] AS e FROM memory_vec WHERE len(embedding) = 384 AND memory_id IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY memory_id)",
+      """c AS (SELECT x.id AS low, y.id AS high, round(1 - list_cosine_similarity(a.e, b.e), 6) AS d, coalesce(x.base_priority, 0) AS pa, coalesce(y.base_priority, 0) AS pb FROM act x JOIN act y ON x.category = y.category AND x.id < y.id
+        JOIN vc a ON a.memory_id = x.id JOIN vc b ON b.memory_id = y.id)""")
+    + "SELECT loser, arg_min(winner, (d, winner)) AS winner, min(d) AS distance FROM (SELECT CASE WHEN pb > pa THEN low ELSE high END AS loser, CASE WHEN pb > pa THEN high ELSE low END AS winner, d FROM c WHERE d <= 0.15) GROUP BY loser",
     "event_changes": P.ctes(P.EVT, P.NOW) + f"""SELECT event_type, b AS before, a AS after, a - b AS delta FROM (SELECT event_type, count(*) FILTER (NOT recent) AS b, count(*) FILTER (recent) AS a FROM (
       SELECT event_type, {P.DAYS.format('now', 'created_at')} <= 30 AS recent FROM evt, clock WHERE created_at IS NOT NULL) GROUP BY event_type)""",
     "label_bins": P.ctes(P.FB) + "SELECT ((utility >= 0.1)::INTEGER + (utility >= 0.3)::INTEGER + (utility >= 0.5)::INTEGER + (utility >= 0.7)::INTEGER + (utility >= 0.9)::INTEGER)::INTEGER AS bin, count(*) AS ratings, round(avg(utility), 6) AS mean FROM fb GROUP BY bin",

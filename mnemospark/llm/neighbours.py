@@ -6,8 +6,10 @@ inside if d(q, v) - factor * reach > mu, nor outside if d(q, v) + factor * reach
 missed; a smaller factor prunes more and may miss some, since in many dimensions two near vectors nearly agree in
 their distance to a third: that they differ by all of their own distance hardly happens.
 
-* A *routing tree* is fitted on the driver to a bounded sample (``sample_rows``). Its leaves are shards of about
-  ``shard_rows`` vectors; a leaf that holds more is dealt out to several shards by hash, so no shard is unbounded.
+* A *routing tree* is fitted on the driver to a bounded sample (``sample_rows`` vectors of ``dim`` times 4 bytes, 31 MB with the
+  defaults, whatever the size of the data). Its leaves are shards of about ``shard_rows`` vectors. Where the sample is too small to
+  tell shards apart, each leaf gets a routing tree of its own, fitted in a task to a sample of that leaf, again of ``sample_rows`` at most;
+  so two levels tell the square of the leaves of one apart. A leaf that still holds more, for want of structure, is dealt out to several shards by hash.
 * Every vector is indexed in one shard, and visits the other shards that it can't rule out. Either of two shards finds
   their pairs, so each vector visits only one of each two: half of the traffic.
 * In a shard, a tree of the same kind is built over all its vectors. Visitors stream by in Arrow batches and are
@@ -19,6 +21,7 @@ of a group of copies the first ``k + 1`` ids can be needed, so a group of any si
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,7 +39,7 @@ class TreeParams:
 
     factor: share of the reach that pruning honours; 1 is exact. leaf_rows: below this a set isn't split.
     least_gain: a split is worth its while if it lets queries skip at least this share of what they could skip if none
-    came near the border. candidates: vantage points tried per split. sample_rows: bound of the sample that the routing tree is fitted to.
+    came near the border. candidates: vantage points tried per split. sample_rows: bound of the sample that a routing tree is fitted to.
     """
 
     factor: float = 0.16
@@ -155,12 +158,11 @@ def _normed(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x, dtype=np.float64))[:, None].astype(np.float32)
 
 
-def _router(tree: Node, salts: np.ndarray, margin: float, dim: int):
-    """One row for the shard that indexes a vector, and one for each shard that it visits.
+def _router(tree: Node, margin: float, dim: int):
+    """One row for the leaf that holds a vector (role 0), and one for each leaf that it visits (role 1).
 
     Vectors travel as bytes, two a number where halves lose nothing. Of equal vectors each task sends on one.
     """
-    first = np.concatenate([[0], np.cumsum(salts)])  # shards first[leaf] .. first[leaf + 1] - 1
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -175,25 +177,150 @@ def _router(tree: Node, salts: np.ndarray, margin: float, dim: int):
                 half = flat.astype(np.float16)
             fits = (half.astype(np.float32) == flat).all(axis=1)
             packed = [half[i].tobytes() if fits[i] else flat[i].tobytes() for i in range(len(flat))]
-            x, keys = _normed(flat), np.asarray(batch.column("salt"), dtype=np.int64)
+            x = _normed(flat)
             home = np.empty(len(x), dtype=np.int64)
             for node, rows in visits(tree, x, 0.0):
-                home[rows] = first[node.leaf] + keys[rows] % salts[node.leaf]
-            at, shard, role = [np.arange(len(x))], [home], [np.zeros(len(x), dtype=np.int8)]
+                home[rows] = node.leaf
+            at, leaf, role = [np.arange(len(x))], [home], [np.zeros(len(x), dtype=np.int8)]
             for node, rows in visits(tree, x, margin):
-                for s in range(first[node.leaf], first[node.leaf + 1]):
-                    # Of shards s and h one visits the other; which one alternates, so that none gets all the visitors.
-                    going = rows[(home[rows] != s) & ((home[rows] < s) == ((home[rows] + s) % 2 == 0))]
-                    at.append(going)
-                    shard.append(np.full(len(going), s))
-                    role.append(np.ones(len(going), dtype=np.int8))
+                going = _one_way(home, rows, node.leaf)
+                at.append(going)
+                leaf.append(np.full(len(going), node.leaf))
+                role.append(np.ones(len(going), dtype=np.int8))
             take = pa.array(np.concatenate(at))
-            columns = [pa.array(np.concatenate(shard), pa.int64()), pa.array(np.concatenate(role), pa.int8()), batch.column("gid").take(take), pa.array(packed, pa.binary()).take(take)]
-            yield pa.RecordBatch.from_arrays(columns, ["shard", "role", "gid", "packed"])
+            columns = [pa.array(np.concatenate(leaf), pa.int32()), pa.array(np.concatenate(role), pa.int8()), batch.column("gid").take(take), batch.column("salt").take(take), pa.array(packed, pa.binary()).take(take)]
+            yield pa.RecordBatch.from_arrays(columns, ["leaf", "role", "gid", "salt", "packed"])
 
     return route
 
 
+def _one_way(home: np.ndarray, rows: np.ndarray, place: int) -> np.ndarray:
+    """Of two places one visits the other; which one alternates, so that none gets all the visitors."""
+    return rows[(home[rows] != place) & ((home[rows] < place) == ((home[rows] + place) % 2 == 0))]
+
+
+def _dealt(tree: Node, salts: np.ndarray, x: np.ndarray, keys: np.ndarray, roles: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shard, role) within one leaf: its own vectors to their shards and to others, visitors to all that they can't rule out."""
+    first = np.concatenate([[0], np.cumsum(salts)])  # shards first[sub] .. first[sub + 1] - 1
+    home = np.full(len(x), -1, dtype=np.int64)
+    for node, rows in visits(tree, x, 0.0):
+        rows = rows[roles[rows] == 0]
+        home[rows] = first[node.leaf] + keys[rows] % salts[node.leaf]
+    own = np.flatnonzero(home >= 0)
+    at, shard, role = [own], [home[own]], [np.zeros(len(own), dtype=np.int8)]
+    for node, rows in visits(tree, x, margin):
+        guests, hosts = rows[roles[rows] == 1], rows[roles[rows] == 0]
+        for s in range(first[node.leaf], first[node.leaf + 1]):
+            going = np.concatenate([guests, _one_way(home, hosts, s)])
+            at.append(going)
+            shard.append(np.full(len(going), s))
+            role.append(np.ones(len(going), dtype=np.int8))
+    return np.concatenate(at), np.concatenate(shard), np.concatenate(role)
+
+
+def _leaf_trees(expected: dict[int, float], margin: float, dim: int, params: TreeParams):
+    """Fits a routing tree to the sample of a leaf: one row of the tree, with the number of shards in it."""
+
+    def fit(table: pa.Table) -> pa.Table:
+        leaf = table.column("leaf")[0].as_py()
+        order = np.argsort(np.asarray(table.column("gid")))
+        x = _unit(table.column("packed").take(pa.array(order)), dim)
+        tree, salts = fitted(x, expected[leaf], margin, params)
+        return pa.table({"leaf": pa.array([leaf], pa.int32()), "tree": pa.array([pickle.dumps((tree, salts))], pa.binary()), "shards": pa.array([int(salts.sum())], pa.int64())})
+
+    return fit
+
+
+def fitted(x: np.ndarray, total: float, margin: float, params: TreeParams) -> tuple[Node, np.ndarray]:
+    """A routing tree over a sample of ``total`` vectors, without the sample's rows, and the number of shards that each leaf needs."""
+    tree, leaves = build(x, margin, max(16, int(params.shard_rows * len(x) / max(total, 1))), params)
+    counts, nodes = np.zeros(leaves), [tree]
+    while nodes:
+        node = nodes.pop()
+        if node.rows is not None:
+            counts[node.leaf], node.rows = len(node.rows), np.arange(0)
+        else:
+            nodes += [node.inside, node.outside]
+    return tree, np.maximum(1, np.ceil(counts * total / max(len(x), 1) / params.shard_rows)).astype(np.int64)
+
+
+def _leaf_router(offsets: dict[int, int], margin: float, dim: int):
+    """Rows come sorted by leaf and part, the leaf's tree before its vectors."""
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, tree, salts = None, None, None
+        for batch in batches:
+            leaves, parts, roles = np.asarray(batch.column("leaf")), np.asarray(batch.column("part")), np.asarray(batch.column("role"))
+            cuts = np.concatenate([[0], np.flatnonzero((leaves[1:] != leaves[:-1]) | (parts[1:] != parts[:-1]) | ((roles[1:] < 0) != (roles[:-1] < 0))) + 1, [len(leaves)]])
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
+                if roles[a] < 0:
+                    at, (tree, salts) = (leaves[a], parts[a]), pickle.loads(batch.column("packed")[int(a)].as_py())
+                    continue
+                if at != (leaves[a], parts[a]):
+                    raise ValueError("a leaf's vectors came without its tree")
+                own = batch.slice(int(a), int(b - a))
+                rows, shard, role = _dealt(tree, salts, _unit(own.column("packed"), dim), np.asarray(own.column("salt")), roles[a:b], margin)
+                take = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(shard + offsets[int(leaves[a])], pa.int64()), pa.array(role, pa.int8()), own.column("gid").take(take), own.column("packed").take(take)], ["shard", "role", "gid", "packed"])
+
+    return route
+
+
+def _narrow_router(salts: np.ndarray, offsets: np.ndarray):
+    """Where each leaf is one shard or a few by hash: no tree is needed to tell them apart."""
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaf, keys, roles = (np.asarray(batch.column(c), dtype=np.int64) for c in ("leaf", "salt", "role"))
+            at, shard, role = [], [], []
+            for one in np.unique(leaf):
+                rows = np.flatnonzero(leaf == one)
+                i, s, r = _dealt(Node(rows=np.arange(0), leaf=0), salts[one : one + 1], np.zeros((len(rows), 1), dtype=np.float32), keys[rows], roles[rows], 0.0)
+                at.append(rows[i])
+                shard.append(s + offsets[one])
+                role.append(r)
+            if at:
+                take = pa.array(np.concatenate(at))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shard), pa.int64()), pa.array(np.concatenate(role), pa.int8()), batch.column("gid").take(take), batch.column("packed").take(take)], ["shard", "role", "gid", "packed"])
+
+    return route
+
+
+def _placed(groups: DataFrame, total: int, margin: float, dim: int, params: TreeParams) -> tuple[DataFrame, int]:
+    """(shard, role, gid, packed) of every vector in its shard and in those that it visits, and the number of shards."""
+    kind = "shard long, role byte, gid long, packed binary"
+    tree, salts = Node(rows=np.arange(0), leaf=0), np.array([1])
+    if total > params.shard_rows:
+        share = int(min(1.0, params.sample_rows / total) * (1 << 40))
+        drawn = groups.where(F.pmod(F.xxhash64("gid", F.lit(1)), F.lit(1 << 40)) < share).dropDuplicates(["gid"]).select("gid", "vector").toArrow()
+        drawn = drawn.take(pa.array(np.argsort(np.asarray(drawn.column("gid")))))
+        x = _normed(np.asarray(drawn.column("vector").combine_chunks().flatten(), dtype=np.float32).reshape(-1, dim))
+        tree, salts = fitted(x, total, margin, params)
+    routed = groups.mapInArrow(_router(tree, margin, dim), "leaf int, role byte, gid long, salt long, packed binary")
+    if total * 16 <= params.shard_rows * params.sample_rows:
+        # The sample holds at least 16 vectors of each shard: one level tells the shards apart.
+        offsets = np.concatenate([[0], np.cumsum(salts)])
+        return routed.mapInArrow(_narrow_router(salts, offsets), kind), int(salts.sum())
+    routed = checkpoint(routed)
+    held = {r.leaf: r.n for r in routed.where("role = 0").groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a leaf
+    sizes = groups.sparkSession.createDataFrame([(leaf, n, min(1 << 40, int(params.sample_rows / n * (1 << 40)))) for leaf, n in held.items()], "leaf int, n long, share long")
+    few = routed.where("role = 0").join(F.broadcast(sizes), "leaf").where(F.pmod(F.xxhash64("gid", F.lit(2)), F.lit(1 << 40)) < F.col("share"))
+    trees = checkpoint(few.select("leaf", "gid", "packed").groupBy("leaf").applyInArrow(_leaf_trees(held, margin, dim, params), "leaf int, tree binary, shards long"))
+    counts = sorted((r.leaf, r.shards) for r in trees.select("leaf", "shards").collect())
+    offsets, shards = {}, 0
+    for leaf, n in counts:
+        offsets[leaf] = shards
+        shards += n
+    # A leaf's vectors are dealt out to parts, each of which gets the leaf's tree first.
+    parts = F.ceil(F.col("n") / (16 * params.shard_rows)).cast("int")
+    heads = trees.join(F.broadcast(sizes), "leaf").select("leaf", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(-1).cast("byte").alias("role"), F.lit(0).cast("long").alias("gid"), F.lit(0).cast("long").alias("salt"), F.col("tree").alias("packed"))
+    body = routed.join(F.broadcast(sizes), "leaf").select("leaf", F.pmod("salt", parts).cast("int").alias("part"), "role", "gid", "salt", "packed")
+    streams = heads.unionByName(body).repartition("leaf", "part").sortWithinPartitions("leaf", "part", "role")
+    return streams.mapInArrow(_leaf_router(offsets, margin, dim), kind), shards
+
+
 class _Shard:
     """The tree over one shard's own vectors, searched by blocks of rows."""
 
@@ -304,20 +431,8 @@ def most_similar(vectors: DataFrame, k: int = 10, min_cosine: float = 0.8, dim:
     reach = float(np.arccos(max(min_cosine, -1.0)))
     margin = params.factor * reach
     total = members.where("at = 1").count()
-    tree, salts = Node(rows=np.arange(0), leaf=0), np.array([1])
-    if total > params.shard_rows:
-        share = min(1.0, params.sample_rows / total)
-        drawn = groups.where(F.pmod(F.xxhash64("gid", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000)).dropDuplicates(["gid"]).select("vector").toArrow()
-        x = _normed(np.asarray(drawn.column("vector").combine_chunks().flatten(), dtype=np.float32).reshape(-1, dim))
-        most = max(16, int(params.shard_rows * len(x) / total))
-        tree, leaves = build(x, margin, most, params)
-        counts = np.zeros(leaves)
-        for node, own in visits(tree, x, 0.0):
-            counts[node.leaf] += len(own)
-        salts = np.maximum(1, np.ceil(counts * total / len(x) / params.shard_rows)).astype(np.int64)
-    shards = int(salts.sum())
-    routed = groups.mapInArrow(_router(tree, salts, margin, dim), "shard long, role byte, gid long, packed binary")
-    placed = routed.repartition(shards, "shard").sortWithinPartitions("shard", "role")
+    routed, shards = _placed(groups, total, margin, dim, params)
+    placed = routed.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "role")
     pairs = placed.mapInArrow(_searcher(margin, k, min_cosine - 1e-6, dim, params), "gid long, near long, cosine double")
     near = pairs.where(F.col("cosine") >= min_cosine).groupBy("gid", "near").agg(F.max("cosine").alias("cosine"))
 

@@ -15,7 +15,7 @@ from mnemospark.llm import mixing, packing, pii
 from mnemospark.llm.canonical import edit_distance, map_to_canonical, words_of
 from mnemospark.llm.components import connected_components
 from mnemospark.llm.cooccurrence import baskets_of, pair_association
-from mnemospark.llm.neighbours import TreeParams, build, most_similar, visits
+from mnemospark.llm.neighbours import TreeParams, _placed, build, most_similar, visits
 from mnemospark.llm.tokens import count_tokens, with_token_counts
 
 DIM = 24
@@ -281,3 +281,24 @@ def test_tokens(spark):
     assert count_tokens(text, DEFAULT_TOKENIZER) == len(encoding(DEFAULT_TOKENIZER).encode_ordinary(text))
     df = spark.createDataFrame([(1, None), (2, ""), (3, "hello world")], "doc_id long, text string")
     assert {r.doc_id: r.tokens for r in with_token_counts(df).collect()} == {1: 0, 2: 0, 3: 2}
+
+
+def test_two_levels_of_routing(spark):
+    """A sample too small to tell shards apart: leaves get trees of their own, and vectors meet about as few others as by one tree over all."""
+    from pyspark.sql import functions as F
+
+    n, rng, met = 1600, np.random.default_rng(5), {}
+    x = (np.repeat(rng.normal(size=(n // 40, DIM)) * 2, 40, axis=0) + rng.normal(size=(n, DIM)) * 0.3).astype(np.float32)
+    ids = [f"m{i:05}" for i in range(n)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "id string, vector array<float>").cache()
+    groups = df.select(F.xxhash64("vector").alias("gid"), F.pmod(F.xxhash64(F.xxhash64("vector"), F.lit(3)), F.lit(1_000_003)).alias("salt"), "vector")
+    for sample in (96, n):
+        params = TreeParams(factor=0.4, shard_rows=80, leaf_rows=40, sample_rows=sample)
+        placed, _ = _placed(groups, n, params.factor * math.acos(0.8), DIM, params)
+        counted = placed.selectExpr("shard", "int(role = 0) own", "int(role = 1) guest").groupBy("shard").sum("own", "guest").collect()
+        assert sum(r[1] for r in counted) == n and max(r[1] for r in counted) <= 6 * params.shard_rows
+        met[sample] = sum(r[1] * (r[1] + r[2]) for r in counted) / n
+    assert n * 16 > 80 * 96 and met[96] <= 2 * met[n]
+    params = TreeParams(factor=0.4, shard_rows=80, leaf_rows=40, sample_rows=96)
+    got, want = {(r.id, r.neighbour) for r in most_similar(df, k=5, min_cosine=0.8, dim=DIM, params=params).collect()}, brute_neighbours(ids, x, 5, 0.8)
+    assert len(got & want) >= 0.97 * len(want)

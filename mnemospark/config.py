@@ -13,6 +13,7 @@ class Scoring:
     keyword_k: float = 8.002
     theme_weight: float = 0.116
     theme_k: float = 4.924
+    related_k: float = 6.0
     # Keyword channel: field weights, and the constants of BM25.
     summary_weight: float = 13.278
     themes_weight: float = 5.731

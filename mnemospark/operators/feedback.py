@@ -120,6 +120,22 @@ def match_recalls(feedback: DataFrame, recalls: DataFrame, within: int = 60) ->
     return best.select("feedback_id", "b.memory_id", "b.utility", "b.recall_id", "b.query", (F.col("b.gap") / 1e6).alias("gap"))
 
 
+def match_shown(retrieved: DataFrame, recalls: DataFrame, within: int = 60) -> DataFrame:
+    """(event_id, memory_id, score, recall_id): each returned memory with the recall that returned it.
+
+    A recall writes its results first: it is the earliest one of the same session and query at or after the event, at most
+    ``within`` seconds later; ties go to the smaller id. Sessions of any size are met by stretches of time. Rows
+    without session, query or time belong to no recall.
+    """
+    stretch = F.floor(micros(F.col("created_at")) / F.lit(within * 1_000_000)).cast("long")
+    whole = "session_id is not null and query is not null and created_at is not null"
+    left = retrieved.where(whole).select(F.col("id").alias("event_id"), "memory_id", F.col("similarity_score").alias("score"), "session_id", "query", micros(F.col("created_at")).alias("shown"), F.explode(F.array(stretch, stretch + 1)).alias("stretch"))
+    right = recalls.where(whole).select(F.col("id").alias("recall_id"), "session_id", "query", micros(F.col("created_at")).alias("written"), stretch.alias("stretch"))
+    near = left.join(right, ["session_id", "query", "stretch"]).where((F.col("written") >= F.col("shown")) & (F.col("written") - F.col("shown") <= within * 1_000_000))
+    best = near.groupBy("event_id").agg(F.min_by(F.struct("memory_id", "score", "recall_id"), F.struct("written", "recall_id")).alias("b"))
+    return best.select("event_id", "b.memory_id", "b.score", "b.recall_id")
+
+
 def ground_truth(matched: DataFrame, least_memories: int = 3) -> DataFrame:
     """(query, memory_id, rel, ratings): mean utility of a memory for a query, for queries with enough rated memories."""
     rel = matched.where("query is not null").groupBy("query", "memory_id").agg(F.avg("utility").alias("rel"), F.count(F.lit(1)).alias("ratings"))

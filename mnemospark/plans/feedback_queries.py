@@ -54,6 +54,13 @@ def matched(spark: SparkSession, folder: str) -> DataFrame:
     return B.match_recalls(P.feedback(spark, folder), P.recalls(spark, folder))
 
 
+def shown_by_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """(recall_id, memory_id, score, rank) of what each recall returned."""
+    seen = P.events(spark, folder, "event_type = 'retrieved' and memory_id is not null and similarity_score is not null")
+    best = B.match_shown(seen, P.recalls(spark, folder)).groupBy("recall_id", "memory_id").agg(F.max("score").alias("score"))
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("recall_id").orderBy(F.desc("score"), "memory_id")))
+
+
 def feedback_matched(spark: SparkSession, folder: str) -> DataFrame:
     return matched(spark, folder).select("feedback_id", "recall_id", "query", r6("gap").alias("gap"))
 
@@ -134,6 +141,9 @@ prior AS (SELECT CASE WHEN k < 5 THEN coalesce((SELECT avg(utility) FROM fb), 0.
 MATCHED = """ma AS (SELECT f.id AS feedback_id, f.memory_id, f.utility, r.id AS recall_id, r.query, abs(epoch_us(f.created_at) - epoch_us(r.created_at)) / 1e6 AS gap
   FROM fb f JOIN rec r ON f.session_id = r.session_id AND abs(epoch_us(f.created_at) - epoch_us(r.created_at)) <= 60000000
   QUALIFY row_number() OVER (PARTITION BY f.id ORDER BY abs(epoch_us(f.created_at) - epoch_us(r.created_at)), r.created_at DESC, r.id DESC) = 1)"""
+SHOWN = """sn AS (SELECT e.id, e.memory_id, e.similarity_score AS score, min((r.created_at, r.id)) AS r FROM evt e JOIN rec r ON r.session_id = e.session_id AND r.query = e.query AND epoch_us(r.created_at) - epoch_us(e.created_at) BETWEEN 0 AND 60000000
+  WHERE e.event_type = 'retrieved' AND e.memory_id IS NOT NULL AND similarity_score IS NOT NULL GROUP BY ALL),
+sh2 AS (SELECT *, row_number() OVER (PARTITION BY recall_id ORDER BY score DESC, memory_id) AS rank FROM (SELECT r[2] AS recall_id, memory_id, max(score) AS score FROM sn GROUP BY ALL))"""
 TRUTH = """tr AS (SELECT query, memory_id, avg(utility) AS rel, count(*) AS ratings FROM ma WHERE query IS NOT NULL GROUP BY query, memory_id QUALIFY count(*) OVER (PARTITION BY query) >= 3)"""
 _STEP = "CASE WHEN x >= 0.5 THEN a + 0.08::DOUBLE * x * (1 - a) WHEN x < 0.1 THEN a * 0.93::DOUBLE ELSE a END"
 _CLAMP = f"greatest(0.1::DOUBLE, least(0.95::DOUBLE, {_STEP}))"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mnemospark.operators import metrics as M
 from mnemospark.operators.feedback import ground_truth
 from mnemospark.plans import parts as P
-from mnemospark.plans.feedback_queries import MATCHED, TRUTH, matched
+from mnemospark.plans.feedback_queries import MATCHED, SHOWN, TRUTH, matched, shown_by_recall
 from mnemospark.plans.parts import r6
 from mnemospark.runtime import checkpoint
 
@@ -76,9 +76,7 @@ def quality_confusions(spark: SparkSession, folder: str) -> DataFrame:
 
 def _rated(spark: SparkSession, folder: str) -> DataFrame:
     """Every rating with the score that its recall gave the memory."""
-    seen = P.events(spark, folder, "event_type = 'retrieved' and similarity_score is not null and session_id is not null").select("memory_id", "query", F.col("similarity_score").alias("score"))
-    best = seen.groupBy("query", "memory_id").agg(F.max("score").alias("score"))
-    return matched(spark, folder).where("query is not null").join(best, ["query", "memory_id"]).select(F.col("feedback_id").alias("key"), "memory_id", "score", "utility")
+    return matched(spark, folder).join(shown_by_recall(spark, folder), ["recall_id", "memory_id"]).select(F.col("feedback_id").alias("key"), "memory_id", "score", "utility")
 
 
 def rating_correlation(spark: SparkSession, folder: str) -> DataFrame:
@@ -143,9 +141,8 @@ gt AS (SELECT query, memory_id, round(rel, 9) AS rel, coalesce(token_count, 0) A
 _BASE = (P.MEM, P.EVT, P.FB, P.REC, MATCHED, TRUTH, _RANK)
 _SHOWN = """sh AS (SELECT rk.query, rk.memory_id, rk.rank, coalesce(gt.rel, 0.0::DOUBLE) AS rel, used FROM (SELECT *, sum(tokens) OVER (PARTITION BY query ORDER BY rank) AS used FROM rk) rk
   LEFT JOIN gt ON gt.query = rk.query AND gt.memory_id = rk.memory_id WHERE rk.query IN (SELECT query FROM gt))"""
-_RATED = """ra AS (SELECT feedback_id AS key, ma.memory_id, score, utility FROM ma JOIN (SELECT query, memory_id, max(similarity_score) AS score FROM evt
-  WHERE event_type = 'retrieved' AND similarity_score IS NOT NULL AND session_id IS NOT NULL GROUP BY query, memory_id) b ON b.query = ma.query AND b.memory_id = ma.memory_id)"""
-_RBASE = (P.EVT, P.FB, P.REC, MATCHED, _RATED)
+_RATED = "ra AS (SELECT feedback_id AS key, ma.memory_id, score, utility FROM ma JOIN sh2 ON sh2.recall_id = ma.recall_id AND sh2.memory_id = ma.memory_id)"
+_RBASE = (P.EVT, P.FB, P.REC, MATCHED, SHOWN, _RATED)
 _AVG = "(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2)"
 _CLEAN = r"list_filter(regexp_split_to_array(regexp_replace(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}\s]', '', 'g'), '\s+'), lambda w: w <> '' AND w NOT IN ('a', 'an', 'the', 'and'))"
 

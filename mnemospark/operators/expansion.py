@@ -28,15 +28,18 @@ def by_feedback_terms(seeds: DataFrame, queries: DataFrame, memories: DataFrame,
     """(query_id, memory_id, bm25, rank): what a search for those words finds beyond the ``pool``."""
     terms = feedback_terms(seeds, queries, memories)
     again = terms.groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_list("term")), " ").alias("query"))  # ten words a query
-    found = keyword_channel(again, memories, k=4 * k)
-    new = found.drop("rank").join(pool.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_anti")
-    return top_k(new, "query_id", [F.desc("bm25"), F.col("memory_id")], k)
+    return keyword_channel(again, memories, k=k, without=pool)
 
 
 def by_session(seeds: DataFrame, memories: DataFrame, pool: DataFrame, per_seed: int = 5) -> DataFrame:
-    """(query_id, memory_id): up to five newest memories of each seed's session that aren't in the pool."""
+    """(query_id, memory_id): up to five newest memories of each seed's session that aren't in the pool.
+
+    Of a session no more can be needed than the largest pool holds, one seed and ``per_seed`` others; so many of its
+    newest are looked at, however long the session is.
+    """
+    largest = pool.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first().n
     timed = memories.where("session_id is not null").select(F.col("id").alias("memory_id"), "session_id", "created_at")
-    newest = top_k(timed, "session_id", [F.desc("created_at"), F.col("memory_id")], 4 * per_seed, "at").select("session_id", F.col("memory_id").alias("other"), "at")
+    newest = top_k(timed, "session_id", [F.desc("created_at"), F.col("memory_id")], largest + per_seed + 1, "at").select("session_id", F.col("memory_id").alias("other"), "at")
     hits = seeds.select("query_id", "memory_id").join(timed.select("memory_id", "session_id"), "memory_id").join(newest, "session_id").where("other <> memory_id")
     new = hits.select("query_id", "memory_id", "other", "at").join(pool.select("query_id", F.col("memory_id").alias("other")), ["query_id", "other"], "left_anti")
     keyed = new.withColumn("seed", F.struct("query_id", "memory_id"))
@@ -57,3 +60,37 @@ def by_centroid(seeds: DataFrame, vectors: DataFrame) -> DataFrame:
     each = seeds.select("query_id", "memory_id").join(vectors, "memory_id").select("query_id", F.posexplode("embedding").alias("i", "x"))
     means = each.groupBy("query_id", "i").agg(F.avg("x").alias("x"))
     return means.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("vector"))  # one number a dimension
+
+
+def toward_centroid(asked: DataFrame, seeds: DataFrame, vectors: DataFrame, own: float = 0.7) -> DataFrame:
+    """(query_id, vector): each query's vector moved toward the mean of its seeds', of length 1; the query's own share is ``own``.
+
+    ``asked`` is (query_id, vector). A query without seeds that have a vector keeps its own.
+    """
+    mean = by_centroid(seeds, vectors).withColumnRenamed("vector", "mean")
+    mixed = F.when(F.col("mean").isNull(), F.col("vector")).otherwise(F.zip_with("vector", "mean", lambda q, m: own * q + (1 - own) * m))
+    rows = asked.join(mean, "query_id", "left").select("query_id", mixed.alias("vector"))
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
+    return rows.select("query_id", F.transform("vector", lambda x: x / length).alias("vector"))
+
+
+# Words that say nothing about what a question asks for.
+STOPWORDS = "the and for with from that this what when where which who why how did does are was were our you your has have had not can could should would will about into over".split()
+
+
+def word_pairs(queries: DataFrame, most: int = 8) -> DataFrame:
+    """(query_id, place, query): sub-queries of two words each, in order, of the first five words that say something."""
+    said = F.slice(F.filter(F.array_distinct(words(F.col("query"))), lambda w: (F.length(w) >= 3) & ~w.isin(STOPWORDS)), 1, 5)
+    listed = queries.select("query_id", F.posexplode(said).alias("i", "a"), said.alias("said"))
+    pairs = listed.where("i < 4").select("query_id", "i", "a", F.posexplode(F.slice("said", F.col("i") + 2, F.size("said"))).alias("j", "b"))
+    return top_k(pairs, "query_id", [F.col("i"), F.col("j")], most, "place").select("query_id", "place", F.concat_ws(" ", "a", "b").alias("query"))
+
+
+def by_word_pairs(queries: DataFrame, memories: DataFrame, pool: DataFrame, k: int = 30, each: int = 20) -> DataFrame:
+    """(query_id, memory_id, score, rank): beyond the pool, what the sub-queries find, both words being there, by summed reciprocal ranks."""
+    pairs = word_pairs(queries)
+    asked = pairs.select(F.concat_ws("|", "query_id", "place").alias("query_id"), "query", F.col("query_id").alias("of"))
+    found = keyword_channel(asked.select("query_id", "query"), memories, k=each).join(asked.select("query_id", "of"), "query_id")
+    new = found.select(F.col("of").alias("query_id"), "memory_id", "rank").join(pool.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_anti")
+    scored = new.groupBy("query_id", "memory_id").agg(F.round(F.sum(1 / (60.0 + F.col("rank"))), 9).alias("score"))
+    return top_k(scored, "query_id", [F.desc("score"), F.col("memory_id")], k)

@@ -43,9 +43,11 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return listed.select("query_id", F.explode("terms").alias("term"), F.size("terms").alias("n_terms"))
 
 
-def keyword_channel(queries: DataFrame, memories: DataFrame, k: int = 150, params: Scoring = SCORING) -> DataFrame:
+def keyword_channel(queries: DataFrame, memories: DataFrame, k: int = 150, params: Scoring = SCORING, without: DataFrame | None = None) -> DataFrame:
     """(query_id, memory_id, bm25, rank) by BM25 over summary and themes. A query without words finds nothing.
 
+    What ``without`` (query_id, memory_id) lists is left out before the first k are taken.
+
     Posting lists are joined with query terms by term: the work is that of the lists that queries ask for, and a query's
     matches are summed where they lie before the shuffle by query.
     """
@@ -58,6 +60,7 @@ def keyword_channel(queries: DataFrame, memories: DataFrame, k: int = 150, param
     tf = F.col("wtf") * (params.bm25_k1 + 1) / (F.col("wtf") + params.bm25_k1 * (1 - params.bm25_b + params.bm25_b * F.col("length") / F.col("avg_length")))
     scored = hits.groupBy("query_id", "memory_id").agg(F.sum(F.col("idf") * tf).alias("bm25"), F.count(F.lit(1)).alias("matched"), F.first("n_terms").alias("n_terms"))
     kept = scored.where((F.col("n_terms") > ALL_TERMS) | (F.col("matched") == F.col("n_terms"))).withColumn("bm25", F.round("bm25", 9))
+    kept = kept if without is None else kept.join(without.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_anti")
     return top_k(kept.select("query_id", "memory_id", "bm25"), "query_id", [F.desc("bm25"), F.col("memory_id")], k)
 
 

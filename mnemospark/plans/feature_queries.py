@@ -10,6 +10,7 @@ from mnemospark.operators import features as Y
 from mnemospark.operators import retrieval as R
 from mnemospark.operators.feedback import burstiness, feedback_summary
 from mnemospark.operators.graph import degrees, first_vectors
+from mnemospark.operators.recall import query_vectors
 from mnemospark.plans import parts as P
 from mnemospark.plans import retrieval_queries as Q
 from mnemospark.plans.feedback_queries import SUMMARY
@@ -73,7 +74,22 @@ def expand_by_centroid(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("query_id", F.col("id").alias("memory_id"), F.round("distance", 5).alias("distance"))
 
 
-QUERIES = {f.__name__: f for f in (features, features_proximity, expand_terms, expand_by_terms, expand_by_session, expand_by_themes, expand_by_centroid)}
+def expand_by_rocchio(spark: SparkSession, folder: str) -> DataFrame:
+    """The thirty memories nearest to each query's vector (the mean of its first keyword hits') moved toward its first five results."""
+    vectors = first_vectors(table(spark, folder, "memory_vec"))
+    asked = checkpoint(query_vectors(Q._channels(spark, folder)[0], vectors))
+    moved = checkpoint(X.toward_centroid(asked, _seeds(_fused(spark, folder)), vectors))
+    found = R.vector_channel(moved, vectors.select(F.col("memory_id").alias("id"), F.col("embedding").alias("vector")), k=30)
+    return found.select("query_id", F.col("id").alias("memory_id"), F.round("distance", 5).alias("distance"))
+
+
+def expand_by_word_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Memories beyond the pool by pairs of the query's words."""
+    found = X.by_word_pairs(P.search_queries(spark, folder), P.active(spark, folder), _fused(spark, folder))
+    return found.select("query_id", "memory_id", r6("score").alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
+QUERIES = {f.__name__: f for f in (expand_by_rocchio, expand_by_word_pairs, features, features_proximity, expand_terms, expand_by_terms, expand_by_session, expand_by_themes, expand_by_centroid)}
 
 _R = "fz AS (SELECT query_id, memory_id, round(score, 9) AS score FROM fu)"
 _SEEDS = "sd AS (SELECT query_id, memory_id FROM fz QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) <= 5)"
@@ -102,3 +118,29 @@ SQL = {
     + """SELECT query_id, id AS memory_id, shared, rank::INTEGER AS rank FROM (SELECT query_id, id, count(*) AS shared, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, id) - 1 AS rank FROM br JOIN tm ON tm.theme = br.theme
       WHERE (query_id, br.theme) NOT IN (SELECT query_id, theme FROM nm) AND (query_id, id) NOT IN (SELECT query_id, memory_id FROM fz) GROUP BY query_id, id) WHERE rank < 30""",
 }
+
+_MEAN = """{n}i AS (SELECT query_id, i, avg(x) AS x FROM (SELECT query_id, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM {t} JOIN vc ON vc.memory_id = {t}.memory_id {w}) GROUP BY query_id, i),
+{n} AS (SELECT query_id, list(x ORDER BY i) AS v FROM {n}i GROUP BY query_id)"""
+_WORDS = P.WORDS.format("query")
+_STOP = "['" + "', '".join(X.STOPWORDS) + "']"
+SQL |= {
+    "expand_by_centroid": P.ctes(*_BASE, Q._VEC, _MEAN.format(n="ce", t="sd", w=""), "nn AS (SELECT query_id, memory_id, round(1 - list_cosine_similarity(v, e), 9) AS d FROM ce, vc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, memory_id) <= 10)")
+    + "SELECT query_id, memory_id, round(d, 5) AS distance FROM nn",
+    "expand_by_rocchio": P.ctes(*_BASE, Q._VEC, _MEAN.format(n="qv", t="kw", w="WHERE rank < 5"), _MEAN.format(n="ce", t="sd", w=""), """mv AS (SELECT qv.query_id, CASE WHEN ce.v IS NULL THEN qv.v ELSE list_transform(list_zip(qv.v, ce.v), lambda p: 0.7::DOUBLE * p[1] + 0.3::DOUBLE * p[2]) END AS v FROM qv LEFT JOIN ce ON ce.query_id = qv.query_id),
+      nn AS (SELECT query_id, memory_id, round(1 - list_cosine_similarity(v, e), 9) AS d FROM mv, vc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, memory_id) <= 30)""") + "SELECT query_id, memory_id, round(d, 5) AS distance FROM nn",
+    "expand_by_session": P.ctes(*_BASE, """se AS (SELECT query_id, sd.memory_id, session_id FROM sd JOIN act ON act.id = sd.memory_id WHERE session_id IS NOT NULL),
+      ot AS (SELECT se.query_id, act.id AS other, row_number() OVER (PARTITION BY se.query_id, se.memory_id ORDER BY act.created_at DESC NULLS LAST, act.id) AS n FROM se JOIN act ON act.session_id = se.session_id AND act.id <> se.memory_id WHERE (se.query_id, act.id) NOT IN (SELECT query_id, memory_id FROM fz))""")
+    + "SELECT DISTINCT query_id, other AS memory_id FROM ot WHERE n <= 5",
+    "expand_by_word_pairs": P.ctes(*_BASE, f"sw AS (SELECT query_id, list_slice(list_filter({P.distinct_list('ws')}, lambda w: length(w) >= 3 AND NOT list_contains({_STOP}, w)), 1, 5) AS s FROM (SELECT query_id, {_WORDS} AS ws FROM qry))",
+      "ij AS (SELECT query_id, i, j, s[i] AS a, s[j] AS b FROM sw, (SELECT unnest(range(1, 5)) AS i), (SELECT unnest(range(2, 6)) AS j) WHERE i < j AND j <= len(s) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY i, j) <= 8)",
+      "tt AS (SELECT query_id, i, j, unnest([a, b]) AS term FROM ij)",
+      """hh AS (SELECT query_id, i, j, memory_id, round(sum(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * (wtf * 2.2::DOUBLE / (wtf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / avg_length)))), 9) AS bm25
+        FROM tt JOIN dfs ON dfs.term = tt.term JOIN post ON post.term = tt.term, st GROUP BY ALL HAVING count(*) = 2)""",
+      "rr AS (SELECT *, row_number() OVER (PARTITION BY query_id, i, j ORDER BY bm25 DESC, memory_id) - 1 AS rank FROM hh QUALIFY rank < 20)",
+      "ss AS (SELECT query_id, memory_id, round(sum(1 / (60.0::DOUBLE + rank)), 9) AS score FROM rr WHERE (query_id, memory_id) NOT IN (SELECT query_id, memory_id FROM fz) GROUP BY ALL)")
+    + "SELECT query_id, memory_id, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) - 1 AS rank FROM ss) WHERE rank < 30",
+}
+SQL["expand_by_terms"] = SQL["expand_terms"].replace("SELECT query_id, term, round(wt, 6) AS weight, rank::INTEGER AS rank FROM (", ", et AS (SELECT query_id, term FROM (") + f"""),
+  eh AS (SELECT et.query_id, memory_id, round(sum(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * (wtf * 2.2::DOUBLE / (wtf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / avg_length)))), 9) AS bm25, count(*) AS m, any_value(nt) AS nt
+    FROM (SELECT query_id, term, count(*) OVER (PARTITION BY query_id) AS nt FROM et) et JOIN dfs ON dfs.term = et.term JOIN post ON post.term = et.term, st WHERE (et.query_id, memory_id) NOT IN (SELECT query_id, memory_id FROM fz) GROUP BY et.query_id, memory_id)
+  SELECT query_id, memory_id, round(bm25, 6) AS bm25, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, memory_id) - 1 AS rank FROM eh WHERE nt > 3 OR m = nt) WHERE rank < 30"""

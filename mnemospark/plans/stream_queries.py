@@ -36,6 +36,9 @@ QUERIES = {f.__name__: f for f in (stream_daily_counts, stream_sessions, stream_
 
 SQL = {
     "stream_daily_counts": P.ctes(P.EVT) + "SELECT strftime(created_at, '%Y-%m-%d') AS day, event_type, count(*) AS events FROM evt WHERE created_at IS NOT NULL GROUP BY ALL",
+    "stream_sessions": P.ctes(P.EVT, """g AS (SELECT session_id, epoch_us(created_at) - lag(epoch_us(created_at)) OVER (PARTITION BY session_id ORDER BY created_at) AS gap, created_at FROM evt WHERE session_id IS NOT NULL AND created_at IS NOT NULL),
+      b AS (SELECT session_id, sum(CASE WHEN gap IS NULL OR gap >= 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY created_at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS burst FROM g),
+      c AS (SELECT session_id, burst, count(*) AS n FROM b GROUP BY ALL)""") + "SELECT session_id, count(*) AS bursts, max(n) AS longest FROM c GROUP BY session_id",
     "stream_matches": P.ctes(P.EVT) + """SELECT f.id AS feedback_id, r.id AS recall_id, round((epoch_us(f.created_at) - epoch_us(r.created_at)) / 1e6, 6) AS gap FROM evt f JOIN evt r ON f.session_id = r.session_id
       AND epoch_us(f.created_at) - epoch_us(r.created_at) BETWEEN 0 AND 60000000 WHERE f.event_type = 'feedback' AND r.event_type = 'recall_meta'""",
     "stream_smoothed_utility": P.ctes(P.FB.replace("AND id IS NOT NULL", "AND id IS NOT NULL AND created_at IS NOT NULL"), P.NOW, SUMMARY) + "SELECT memory_id, round(fb_ewma, 6) AS ewma, fb_count AS count FROM sm",

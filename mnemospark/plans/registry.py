@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("hierarchy_queries", "store_queries", "feedback_queries", "retrieval_queries", "metric_queries", "feature_queries", "recall_queries", "label_queries", "stream_queries")
+MODULES = ("hierarchy_queries", "store_queries", "feedback_queries", "retrieval_queries", "metric_queries", "feature_queries", "recall_queries", "label_queries", "upkeep_queries", "stream_queries")
 
 
 def _merged(what: str) -> dict:

@@ -72,7 +72,7 @@ SQL = {
       WHERE n > 1 AND (epoch_us(now) - epoch_us(coalesce(last_accessed, created_at))) / 86400e6 > 90 AND coalesce(recall_count, 0) + coalesce(reflect_count, 0) < 2""",
     "themes_mapped": P.ctes(P.MEM, f"a AS (SELECT id, themes, lower(coalesce(content, '')) AS c, {_FROM.format(P.NORMAL)} AS m FROM act)", f"b AS (SELECT id, themes, {_TO} AS l FROM a)", f"c AS (SELECT id, themes, {P.distinct_list('l')} AS new FROM b)")
     + "SELECT id, coalesce(array_to_string(new, '|'), '') AS themes FROM c WHERE new IS DISTINCT FROM themes",
-    "time_expressions": f"SELECT doc_id, times FROM (SELECT doc_id, len(regexp_extract_all(regexp_replace(text, '[À-ÖØ-öø-ʯͰ-ӿ]', 'x', 'g'), '{_TIME}', 0, 'i'))::INTEGER AS times FROM documents) WHERE times > 0"  # letters beyond ASCII are no word characters to this engine,
+    "time_expressions": f"SELECT doc_id, times FROM (SELECT doc_id, len(regexp_extract_all(regexp_replace(text, '[À-ÖØ-öø-ʯͰ-ӿ]', 'x', 'g'), '{_TIME}', 0, 'i'))::INTEGER AS times FROM documents) WHERE times > 0",  # letters beyond ASCII are no word characters to this engine
     "secrets_planted": P.ctes(P.MEM) + """SELECT id, kind, md5('note ' || ['[REDACTED_API_KEY]', '[REDACTED_JWT]', '[REDACTED_BEARER_TOKEN]', '[REDACTED_CONN_STRING]', '[REDACTED_PASSWORD]', '[REDACTED_GITHUB_TOKEN]', '[REDACTED_SLACK_TOKEN]', '[REDACTED_AWS_KEY]',
       '[REDACTED_GOOGLE_API_KEY]', '[REDACTED_CREDIT_CARD]', '[REDACTED_PRIVATE_KEY]'][kind + 1] || ' end. ' || coalesce(content, '')) AS clean_md5 FROM (SELECT id, content, (('0x' || substr(md5(id), 1, 4))::INTEGER % 11)::INTEGER AS kind FROM act)""",
 }

@@ -218,16 +218,16 @@ def weighted_sample(df: DataFrame, weight: str, n: int, seed: int = 42) -> DataF
     return df.where(F.col(weight) > 0).withColumn("draw", F.log(u) / F.col(weight)).orderBy(F.desc("draw"), "key").limit(n).drop("draw")
 
 
-def isotonic(df: DataFrame, score: str, label: str) -> DataFrame:
+def isotonic(df: DataFrame, score: str, label: str, grid: float = 1e-4) -> DataFrame:
     """(score, rate): the non-decreasing step function of a score that fits a 0/1 label best, at its corners.
 
-    Pools of violators are merged within partitions first, then across them, by Spark's own isotonic regression.
+    Scores are rounded to the ``grid`` first, which bounds the model that the driver holds by the range of scores. Pools of violators are merged within partitions first, then across them, by Spark's own isotonic regression.
     """
     from pyspark.ml.regression import IsotonicRegression
 
-    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(F.col(score).cast("double").alias("features"), F.col(label).cast("double").alias("label"))
+    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy((F.rint(F.col(score) / grid) * grid).alias("features")).agg(F.avg(F.col(label).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
     if rows.isEmpty():
         return df.sparkSession.createDataFrame([], "score double, rate double")
-    model = IsotonicRegression().fit(rows)
+    model = IsotonicRegression(weightCol="weight").fit(rows)
     pairs = [(float(b), float(p)) for b, p in zip(model.boundaries, model.predictions)]  # the model itself, one pair a corner
     return df.sparkSession.createDataFrame(pairs, "score double, rate double")

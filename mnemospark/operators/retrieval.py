@@ -123,18 +123,21 @@ def _nearest(k: int):
     return run
 
 
-def vector_channel(queries: DataFrame, vectors: DataFrame, k: int = 200) -> DataFrame:
+def vector_channel(queries: DataFrame, vectors: DataFrame, k: int = 200, salts: int = 32) -> DataFrame:
     """(query_id, id, distance, rank): the k vectors (id, vector) nearest by cosine to each query (query_id, vector).
 
     A stated set of queries against all rows, in blocks: up to 256 queries meet up to 2,048 vectors as one matrix product, and
-    about k rows a query leave it. Null and zero vectors don't take part, nor do those with a null in them, and a query meets only vectors of its length.
+    about k rows a query leave it. Blocks of rows are dealt out to ``salts`` groups, each of which gets all the queries' blocks, so that
+    the work is spread however few lengths there are, and no pair of blocks is shuffled. Null and zero vectors don't take part, nor do those with a null in them, and a query meets only vectors of its length.
     """
     clean = lambda df, c: df.where("vector is not null").where(~F.exists("vector", lambda x: x.isNull())).select(F.col(c).alias("id"), F.col("vector").cast("array<double>").alias("vector"))
     kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["id"]
     asked = clean(queries, "query_id").mapInArrow(_blocks("q", 256), f"q_ids array<{kinds[0]}>, q binary, q_dim int")
     rows = clean(vectors, "id").mapInArrow(_blocks("v", 2048), f"v_ids array<{kinds[1]}>, v binary, v_dim int")
-    pairs = rows.join(asked, F.col("q_dim") == F.col("v_dim"))
-    scored = pairs.repartition(F.xxhash64("v"), F.xxhash64("q")).mapInArrow(_nearest(k), f"query_id {kinds[0]}, id {kinds[1]}, distance double")
+    dealt = rows.withColumn("v_salt", F.pmod(F.xxhash64("v_ids"), F.lit(salts)).cast("int"))
+    every = asked.withColumn("q_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    pairs = dealt.join(every, (F.col("q_dim") == F.col("v_dim")) & (F.col("q_salt") == F.col("v_salt"))).drop("q_salt", "v_salt")
+    scored = pairs.mapInArrow(_nearest(k), f"query_id {kinds[0]}, id {kinds[1]}, distance double")
     return top_k(scored, "query_id", [F.col("distance"), F.col("id")], k)
 
 

@@ -70,7 +70,10 @@ def feedback_truth(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def feedback_disappointed(spark: SparkSession, folder: str) -> DataFrame:
-    """Recalls none of whose ratings exceeds 0.2: a failure to rank if the top score was 0.1 or more, else a gap in the store."""
+    """Recalls none of whose ratings exceeds 0.2: a failure to rank if the top score was 0.1 or more, else a gap in the store.
+
+    Scores here are fused ranks, whose best is about 0.14; the threshold of 0.25 for scores of another scale would call all of them gaps.
+    """
     top = F.get_json_object("context", "$.top_score").cast("double")
     meta = P.events(spark, folder, "event_type = 'recall_meta'").select(F.col("id").alias("recall_id"), top.alias("top_score"))
     worst = matched(spark, folder).groupBy("recall_id").agg(F.max("utility").alias("best"), F.count(F.lit(1)).alias("ratings")).where("best <= 0.2")

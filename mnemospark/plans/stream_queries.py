@@ -22,6 +22,12 @@ def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
     return closed.unionByName(still).groupBy("session_id").agg(F.count(F.lit(1)).alias("bursts"), F.max("events").alias("longest"))
 
 
+def retrieval_sliding(spark: SparkSession, folder: str) -> DataFrame:
+    """Memories and retrievals in windows of thirty days that move by ten."""
+    found = S.sliding_retrievals(S.timed(table(spark, folder, "memory_events")))
+    return found.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "memories", "events")
+
+
 def stream_matches(spark: SparkSession, folder: str) -> DataFrame:
     left, right = S.timed(S.event_stream(spark, folder)), S.timed(S.event_stream(spark, folder))
     return S.drain(S.matches(left, right)).select("feedback_id", "recall_id", F.round("gap", 6).alias("gap"))
@@ -32,10 +38,12 @@ def stream_smoothed_utility(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("memory_id", F.round("ewma", 6).alias("ewma"), "count")
 
 
-QUERIES = {f.__name__: f for f in (stream_daily_counts, stream_sessions, stream_matches, stream_smoothed_utility)}
+QUERIES = {f.__name__: f for f in (retrieval_sliding, stream_daily_counts, stream_sessions, stream_matches, stream_smoothed_utility)}
 
 SQL = {
     "stream_daily_counts": P.ctes(P.EVT) + "SELECT strftime(created_at, '%Y-%m-%d') AS day, event_type, count(*) AS events FROM evt WHERE created_at IS NOT NULL GROUP BY ALL",
+    "retrieval_sliding": P.ctes(P.EVT) + """SELECT strftime(make_timestamp((floor(epoch_us(created_at) / 864000000000)::BIGINT - k) * 864000000000), '%Y-%m-%d') AS start, count(DISTINCT memory_id) AS memories, count(*) AS events
+      FROM evt, (SELECT unnest([0, 1, 2]) AS k) WHERE event_type = 'retrieved' AND created_at IS NOT NULL GROUP BY 1""",
     "stream_sessions": P.ctes(P.EVT, """g AS (SELECT session_id, epoch_us(created_at) - lag(epoch_us(created_at)) OVER (PARTITION BY session_id ORDER BY created_at) AS gap, created_at FROM evt WHERE session_id IS NOT NULL AND created_at IS NOT NULL),
       b AS (SELECT session_id, sum(CASE WHEN gap IS NULL OR gap >= 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY created_at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS burst FROM g),
       c AS (SELECT session_id, burst, count(*) AS n FROM b GROUP BY ALL)""") + "SELECT session_id, count(*) AS bursts, max(n) AS longest FROM c GROUP BY session_id",

@@ -7,7 +7,6 @@ there, to its end, and gives the result as a static table.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -18,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from mnemospark.config import SCORING
+from mnemospark.runtime import shared_folder
 
 STATE = "ewma double, count long"
 RESULT = "memory_id string, ewma double, count long"
@@ -46,9 +46,10 @@ def daily_counts(events: DataFrame) -> DataFrame:
 
 
 def sliding_retrievals(events: DataFrame, width: str = "30 days", step: str = "10 days") -> DataFrame:
-    """(start, memories, events): retrievals over sliding windows."""
+    """(start, memories, events): retrievals over sliding windows. Of a stream the memories are counted approximately, as streams keep no distinct counts."""
     seen = events.where("event_type = 'retrieved'")
-    return seen.groupBy(F.window("created_at", width, step).alias("w")).agg(F.approx_count_distinct("memory_id", 0.02).alias("memories"), F.count(F.lit(1)).alias("events")).select(F.col("w.start").alias("start"), "memories", "events")
+    memories = F.approx_count_distinct("memory_id", 0.02) if events.isStreaming else F.count_distinct("memory_id")
+    return seen.groupBy(F.window("created_at", width, step).alias("w")).agg(memories.alias("memories"), F.count(F.lit(1)).alias("events")).select(F.col("w.start").alias("start"), "memories", "events")
 
 
 def bursts(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
@@ -106,8 +107,7 @@ def drain(stream: DataFrame, mode: str = "append", latest_by: list[str] | None =
     stream's own checkpoints lie in the shared checkpoint folder. The watermark of the last batch is added to ``marks``.
     """
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-stream-")
-    at = f"{base}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     if mode == "update":
         write = stream.writeStream.foreachBatch(lambda df, n: df.withColumn("__batch", F.lit(n)).write.mode("append").parquet(f"{at}/out")).outputMode("update")
     else:

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,14 +44,17 @@ def count_tokens(text: str, path: str) -> int:
 def with_token_counts(documents: DataFrame, path: str = DEFAULT_TOKENIZER) -> DataFrame:
     """``documents`` (doc_id, text, further columns) with tokens in place of text; null and empty texts have none.
 
-    Texts of any length are read whole.
+    Texts of any length are read whole. The vocabulary is a file of the driver's that Spark sends to the executors.
     """
+    documents.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
     kept = [c for c in documents.columns if c != "text"]
     kinds = dict(documents.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = SparkFiles.get(name)
         for batch in batches:
-            counts = [count_tokens(t, path) if t else 0 for t in batch.column("text").to_pylist()]
+            counts = [count_tokens(t, own) if t else 0 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(counts, pa.int64())], [*kept, "tokens"])
 
     return documents.select(*kept, F.col("text")).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", tokens long")

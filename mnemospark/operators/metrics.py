@@ -192,21 +192,21 @@ def cliff(ranking: DataFrame, least: int = 5, z: float = 2.0, floor: float = 0.0
     return fitted.groupBy("query").agg(F.coalesce(F.min(F.when(falls, F.col("rank") - 1)), F.max("rank")).cast("int").alias("cut"))
 
 
+#: Fixed value: cumulated chances of 0, 1, 2, .. of a Poisson number of mean 1, as counts of 65,536.
+POISSON = (24109, 48219, 60273, 64292, 65296, 65497, 65531, 65535)
+
+
 def bootstrap_mean(df: DataFrame, value: str, replicates: int = 200, seed: int = 1729) -> DataFrame:
     """One row: mean of a column with the 2.5 and 97.5 percentile of resampled means.
 
     Each row draws a Poisson(1) count per replicate from a hash of its key, which stands for sampling with replacement at any
-    size; per replicate only two sums are kept. ``df`` has a unique column key.
+    size; one hash serves eight replicates, and per replicate only two sums are kept. ``df`` has a unique column key.
     """
-    u = lambda b: (F.pmod(F.xxhash64("key", b, F.lit(seed)), F.lit(1_000_003)) + 0.5) / 1_000_003
-    steps, p, total = [], 0.36787944117144233, 0.0
-    for k in range(8):
-        total += p
-        steps.append(total)
-        p /= k + 1
-    drawn = df.where(F.col(value).isNotNull()).select("key", F.col(value).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
-    weight = sum(((u(F.col("b")) > s).cast("int") for s in steps), F.lit(0))
-    means = drawn.withColumn("w", weight).groupBy("b").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
+    chunks = df.where(F.col(value).isNotNull()).select("key", F.col(value).alias("v"), F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 8))).alias("c"))
+    hashed = chunks.select("v", "c", F.md5(F.concat_ws("|", F.col("key").cast("string"), F.col("c").cast("string"), F.lit(str(seed))).cast("binary")).alias("h"))
+    drawn = hashed.select("v", "h", "c", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i")).select("v", (F.col("c") * 8 + F.col("i")).alias("b"), F.conv(F.substr("h", F.col("i") * 4 + 1, F.lit(4)), 16, 10).cast("int").alias("u"))
+    weight = sum(((F.col("u") >= s).cast("int") for s in POISSON), F.lit(0))
+    means = drawn.where(F.col("b") < replicates).withColumn("w", weight).groupBy("b").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
     ends = means.agg(F.sort_array(F.collect_list("m")).alias("m"))  # one number a replicate
     at = lambda q: F.element_at("m", F.lit(int(q * (replicates - 1)) + 1))
     return df.agg(F.avg(value).alias("mean"), F.count(value).alias("n")).crossJoin(ends).select("mean", "n", at(0.025).alias("low"), at(0.975).alias("high"))
@@ -214,8 +214,8 @@ def bootstrap_mean(df: DataFrame, value: str, replicates: int = 200, seed: int =
 
 def weighted_sample(df: DataFrame, weight: str, n: int, seed: int = 42) -> DataFrame:
     """n rows without replacement with chances by weight: the largest u^(1/w), u being a hash of the unique column key."""
-    u = (F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1_000_003)) + 0.5) / 1_000_003
-    return df.where(F.col(weight) > 0).withColumn("draw", F.log(u) / F.col(weight)).orderBy(F.desc("draw"), "key").limit(n).drop("draw")
+    u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.col("key").cast("string"), F.lit(str(seed))).cast("binary")), 1, 8), 16, 10).cast("long") + 0.5) / float(1 << 32)
+    return df.where(F.col(weight) > 0).withColumn("draw", F.round(F.log(u) / F.col(weight), 9)).orderBy(F.desc("draw"), "key").limit(n).drop("draw")
 
 
 def isotonic(df: DataFrame, score: str, label: str, grid: float = 1e-4) -> DataFrame:

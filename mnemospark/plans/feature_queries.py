@@ -124,6 +124,12 @@ _MEAN = """{n}i AS (SELECT query_id, i, avg(x) AS x FROM (SELECT query_id, unnes
 _WORDS = P.WORDS.format("query")
 _STOP = "['" + "', '".join(X.STOPWORDS) + "']"
 SQL |= {
+    "features_proximity": P.ctes(*_BASE, f"a AS (SELECT query_id, list_distinct({_WORDS}) AS asked FROM qry)", f"t AS (SELECT id, {P.WORDS.format('content')} AS tx FROM act)",
+      "pp AS (SELECT fz.query_id, fz.memory_id, asked, tx FROM fz JOIN a ON a.query_id = fz.query_id JOIN t ON t.id = fz.memory_id)",
+      "oc AS (SELECT query_id, memory_id, pos, word FROM (SELECT query_id, memory_id, asked, unnest(tx) AS word, generate_subscripts(tx, 1) AS pos FROM pp) WHERE list_contains(asked, word))",
+      "la AS (SELECT x.query_id, x.memory_id, x.pos, y.word, max(y.pos) AS last FROM oc x JOIN oc y ON x.query_id = y.query_id AND x.memory_id = y.memory_id AND y.pos <= x.pos GROUP BY ALL)",
+      "wi AS (SELECT query_id, memory_id, pos, pos - min(last) + 1 AS width, count(*) AS have FROM la GROUP BY query_id, memory_id, pos)")
+    + "SELECT pp.query_id, pp.memory_id, round(coalesce(len(any_value(asked))::DOUBLE / min(width) FILTER (have = len(asked)), 0.0::DOUBLE), 6) AS proximity FROM pp LEFT JOIN wi ON wi.query_id = pp.query_id AND wi.memory_id = pp.memory_id GROUP BY pp.query_id, pp.memory_id",
     "expand_by_centroid": P.ctes(*_BASE, Q._VEC, _MEAN.format(n="ce", t="sd", w=""), "nn AS (SELECT query_id, memory_id, round(1 - list_cosine_similarity(v, e), 9) AS d FROM ce, vc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, memory_id) <= 10)")
     + "SELECT query_id, memory_id, round(d, 5) AS distance FROM nn",
     "expand_by_rocchio": P.ctes(*_BASE, Q._VEC, _MEAN.format(n="qv", t="kw", w="WHERE rank < 5"), _MEAN.format(n="ce", t="sd", w=""), """mv AS (SELECT qv.query_id, CASE WHEN ce.v IS NULL THEN qv.v ELSE list_transform(list_zip(qv.v, ce.v), lambda p: 0.7::DOUBLE * p[1] + 0.3::DOUBLE * p[2]) END AS v FROM qv LEFT JOIN ce ON ce.query_id = qv.query_id),

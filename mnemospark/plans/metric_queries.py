@@ -127,7 +127,8 @@ def decay_fit(spark: SparkSession, folder: str) -> DataFrame:
 
 def rating_isotonic(spark: SparkSession, folder: str) -> DataFrame:
     """How often a memory of a given score is found useful, as a non-decreasing step function."""
-    return M.isotonic(_rated(spark, folder).withColumn("used", F.col("utility") >= 0.5), "score", "used")
+    found = M.isotonic(_rated(spark, folder).withColumn("used", F.col("utility") >= 0.5), "score", "used")
+    return found.select(F.round("score", 4).alias("score"), r6("rate").alias("rate"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -181,3 +182,17 @@ SQL = {
     "decay_fit": P.ctes(P.MEM, P.FB, "a AS (SELECT category, utility, (epoch_us(fb.created_at) - epoch_us(mem.created_at)) / 86400e6 AS age FROM fb JOIN mem ON mem.id = fb.memory_id)", "b AS (SELECT category, floor(age / 3)::INTEGER AS bin, count(*) AS n, avg(utility) AS mean FROM a WHERE age >= 0 GROUP BY ALL HAVING count(*) >= 3 AND avg(utility) > 0)")
     + "SELECT category, count(*) AS bins, sum(n)::BIGINT AS ratings, round(-regr_slope(ln(mean), bin * 3 + 1.5::DOUBLE), 6) AS rate FROM b GROUP BY category HAVING count(*) >= 3",
 }
+
+_DRAWS = "(" + " + ".join(f"(u >= {x})::INTEGER" for x in M.POISSON) + ")"
+SQL |= {
+    "rating_mean_interval": P.ctes(P.FB, "dr AS (SELECT utility AS v, c * 8 + i AS b, ('0x' || substr(md5(concat_ws('|', id, c, 1729)), (i * 4 + 1)::BIGINT, 4))::INTEGER AS u FROM fb, (SELECT unnest(range(0, 25)) AS c), (SELECT unnest(range(0, 8)) AS i))",
+      f"mn AS (SELECT b, sum({_DRAWS} * v) / sum({_DRAWS}) AS m FROM dr GROUP BY b)", "so AS (SELECT list_sort(list(m)) AS m FROM mn)")
+    + "SELECT round(avg(utility), 6) AS mean, count(*) AS n, round(any_value(so.m[5]), 6) AS low, round(any_value(so.m[195]), 6) AS high FROM fb, so",
+    "rating_sample": P.ctes(P.FB) + """SELECT id AS key, memory_id, utility FROM fb WHERE utility > 0
+      ORDER BY round(ln((('0x' || substr(md5(concat_ws('|', id, 42)), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296) / utility, 9) DESC, id LIMIT 100""",
+    # The greatest over starts of the least over ends of the mean between them; its steps, first and last score of each.
+    "rating_isotonic": P.ctes(*_RBASE, "gr AS (SELECT round_even(score / 1e-4, 0) AS g, sum((utility >= 0.5)::INTEGER)::DOUBLE AS y, count(*)::DOUBLE AS w FROM ra GROUP BY 1)",
+      "cu AS (SELECT g, sum(y) OVER o AS sy, sum(w) OVER o AS sw, y, w FROM gr WINDOW o AS (ORDER BY g))", "ab AS (SELECT j.g AS j, k.g AS k, (k.sy - j.sy + j.y) / (k.sw - j.sw + j.w) AS a FROM cu j JOIN cu k ON k.g >= j.g)",
+      "mi AS (SELECT j, k AS i, min(a) OVER (PARTITION BY j ORDER BY k DESC) AS a FROM ab)", "iso AS (SELECT i, round(max(a), 9) AS rate FROM mi GROUP BY i)", "bl AS (SELECT rate, min(i) AS lo, max(i) AS hi FROM iso GROUP BY rate)")
+    + "SELECT round(lo * 1e-4, 4) AS score, round(rate, 6) AS rate FROM bl UNION SELECT round(hi * 1e-4, 4), round(rate, 6) FROM bl",
+}

@@ -91,7 +91,7 @@ class RepairParams:
     least_gain: float = 3.0
     worst_step: float = 3.0
     example: int = 8
-    shared_words: int = 100_000
+    shared_words: int = 20_000
 
 
 def _encode(text: str, page: str) -> bytes | None:

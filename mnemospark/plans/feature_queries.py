@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from mnemospark.operators import retrieval as R
 from mnemospark.operators.feedback import burstiness, feedback_summary
 from mnemospark.operators.graph import degrees, first_vectors
 from mnemospark.operators.recall import query_vectors
+from mnemospark.operators.selection import correlations
 from mnemospark.plans import parts as P
 from mnemospark.plans import retrieval_queries as Q
 from mnemospark.plans.feedback_queries import SUMMARY
@@ -41,6 +44,14 @@ def features_proximity(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("query_id", "memory_id", r6("proximity").alias("proximity"))
 
 
+CORRELATED = ("score", "theme_overlap", "query_coverage", "priority", "age_days", "token_count", "theme_count", "confidence", "decay_rate", "fb_count", "links", "burstiness")
+
+
+def features_correlated(spark: SparkSession, folder: str) -> DataFrame:
+    """Correlations of all pairs of features, the score among them."""
+    return correlations(features(spark, folder), list(CORRELATED)).withColumn("correlation", r6("correlation"))
+
+
 def _seeds(fused: DataFrame) -> DataFrame:
     return R.top_k(fused, "query_id", [F.desc("score"), F.col("memory_id")], 5).select("query_id", "memory_id")
 
@@ -89,7 +100,7 @@ def expand_by_word_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("query_id", "memory_id", r6("score").alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
-QUERIES = {f.__name__: f for f in (expand_by_rocchio, expand_by_word_pairs, features, features_proximity, expand_terms, expand_by_terms, expand_by_session, expand_by_themes, expand_by_centroid)}
+QUERIES = {f.__name__: f for f in (expand_by_rocchio, expand_by_word_pairs, features, features_correlated, features_proximity, expand_terms, expand_by_terms, expand_by_session, expand_by_themes, expand_by_centroid)}
 
 _R = "fz AS (SELECT query_id, memory_id, round(score, 9) AS score FROM fu)"
 _SEEDS = "sd AS (SELECT query_id, memory_id FROM fz QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) <= 5)"
@@ -150,3 +161,5 @@ SQL["expand_by_terms"] = SQL["expand_terms"].replace("SELECT query_id, term, rou
   eh AS (SELECT et.query_id, memory_id, round(sum(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * (wtf * 2.2::DOUBLE / (wtf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / avg_length)))), 9) AS bm25, count(*) AS m, any_value(nt) AS nt
     FROM (SELECT query_id, term, count(*) OVER (PARTITION BY query_id) AS nt FROM et) et JOIN dfs ON dfs.term = et.term JOIN post ON post.term = et.term, st WHERE (et.query_id, memory_id) NOT IN (SELECT query_id, memory_id FROM fz) GROUP BY et.query_id, memory_id)
   SELECT query_id, memory_id, round(bm25, 6) AS bm25, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, memory_id) - 1 AS rank FROM eh WHERE nt > 3 OR m = nt) WHERE rank < 30"""
+_EACH = ", ".join(f"{{'a': '{a}', 'b': '{b}', 'c': corr({a}, {b})}}" for a, b in combinations(CORRELATED, 2))
+SQL["features_correlated"] = f"SELECT u.a AS feature_a, u.b AS feature_b, CASE WHEN isnan(u.c) THEN NULL ELSE round(u.c, 6) END AS correlation FROM (SELECT unnest([{_EACH}]) AS u FROM ({SQL['features']}))"

@@ -144,3 +144,14 @@ def test_density(spark):
     pool = spark.createDataFrame([(1, "m00"), (1, "m02"), (1, "m05"), (1, "m13"), (1, "gone"), (2, "m01")], "query_id long, memory_id string")
     got = {(r.query_id, r.memory_id): r.neighbours for r in C.pool_density(pool, _memories(spark)).collect()}
     assert got == {(1, "m00"): 1, (1, "m02"): 1, (1, "m05"): 0, (1, "m13"): 0, (1, "gone"): 0, (2, "m01"): 0}
+
+
+def test_choice_of_features(spark):
+    from mnemospark.operators.selection import correlation_filter, correlations, most_relevant
+
+    rows = spark.range(200).selectExpr("id y", "id + id % 7 a", "id * 2 b", "id % 7 c", "1 d", "if(id < 3, null, id % 5) e")
+    table = [tuple(r) for r in correlations(rows, ["y", "a", "b", "c", "d", "e"]).collect()]
+    assert len(table) == 15 and {c for a, b, c in table if "d" in (a, b)} == {None}
+    assert most_relevant(table, "y", 2) == ["b", "a"] and set(most_relevant(table, "y", 9)) == {"a", "b", "c", "d", "e"}
+    assert correlation_filter(table, {"a": 0.5, "b": 0.9, "c": 0.1, "d": 0.0}) == ["b", "c", "d"]
+    assert [r.correlation for r in correlations(rows.where("false"), ["y", "a"]).collect()] == [None]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.functions.text import normal_themes, words
+from mnemospark.functions.vectors import dots, novelty_of
 from mnemospark.operators.retrieval import keyword_channel, top_k
 
 
@@ -94,3 +97,26 @@ def by_word_pairs(queries: DataFrame, memories: DataFrame, pool: DataFrame, k: i
     new = found.select(F.col("of").alias("query_id"), "memory_id", "rank").join(pool.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_anti")
     scored = new.groupBy("query_id", "memory_id").agg(F.round(F.sum(1 / (60.0 + F.col("rank"))), 9).alias("score"))
     return top_k(scored, "query_id", [F.desc("score"), F.col("memory_id")], k)
+
+
+def by_links(asked: DataFrame, seeds: DataFrame, adj: DataFrame, vectors: DataFrame, pool: DataFrame) -> DataFrame:
+    """(query_id, memory_id, novelty): memories linked to a seed and beyond the pool, by what they add to the seed for the query.
+
+    ``asked`` is (query_id, vector), ``adj`` (node, neighbour, weight), ``vectors`` (memory_id, embedding). Of several seeds the
+    one beside which a memory is most novel counts. A memory, seed or query without a vector gives none. The pool is taken
+    off before vectors are joined, so that only new candidates carry them.
+    """
+    ends = seeds.select("query_id", F.col("memory_id").alias("node")).join(adj.select("node", "neighbour").distinct(), "node").where("node <> neighbour")
+    new = ends.join(pool.select("query_id", F.col("memory_id").alias("neighbour")), ["query_id", "neighbour"], "left_anti")
+    held = new.join(vectors.select(F.col("memory_id").alias("neighbour"), F.col("embedding").alias("there")), "neighbour").join(vectors.select(F.col("memory_id").alias("node"), F.col("embedding").alias("here")), "node").join(asked, "query_id")
+    products = dots(F.col("vector"), F.col("there"), F.col("here"))
+    measured = held.select("query_id", F.col("neighbour").alias("memory_id"), *[c.alias(name) for name, c in products.items()])
+    scored = measured.select("query_id", "memory_id", novelty_of(*map(F.col, products)).alias("novelty"))
+    return scored.groupBy("query_id", "memory_id").agg(F.max("novelty").alias("novelty"))
+
+
+def together(found: dict[str, DataFrame]) -> DataFrame:
+    """(query_id, memory_id, methods): what several expansions found, with the names of those that did, in alphabetical order."""
+    parts = [df.select("query_id", "memory_id", F.lit(name).alias("method")) for name, df in found.items()]
+    every = reduce(DataFrame.unionByName, parts)
+    return every.groupBy("query_id", "memory_id").agg(F.array_join(F.array_sort(F.collect_set("method")), "+").alias("methods"))

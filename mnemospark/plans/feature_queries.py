@@ -100,7 +100,21 @@ def expand_by_word_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("query_id", "memory_id", r6("score").alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
-QUERIES = {f.__name__: f for f in (expand_by_rocchio, expand_by_word_pairs, features, features_correlated, features_proximity, expand_terms, expand_by_terms, expand_by_session, expand_by_themes, expand_by_centroid)}
+def expand_by_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Active memories linked to a query's first five results and not in its pool, by how much they add to them."""
+    live, fused = P.active(spark, folder).select(F.col("id").alias("memory_id")), _fused(spark, folder)
+    vectors = first_vectors(table(spark, folder, "memory_vec"))
+    asked = checkpoint(query_vectors(Q._channels(spark, folder)[0], vectors))
+    found = X.by_links(asked, _seeds(fused), R.adjacency(table(spark, folder, "memory_edges")), vectors.join(live, "memory_id", "left_semi"), fused)
+    return found.withColumn("novelty", F.round("novelty", 5))
+
+
+def expand_all(spark: SparkSession, folder: str) -> DataFrame:
+    """What the expansions by terms, session, themes and word pairs add to each query's pool, and which of them did."""
+    return X.together({"pairs": expand_by_word_pairs(spark, folder), "session": expand_by_session(spark, folder), "terms": expand_by_terms(spark, folder), "themes": expand_by_themes(spark, folder)})
+
+
+QUERIES = {f.__name__: f for f in (expand_by_links, expand_all, expand_by_rocchio, expand_by_word_pairs, features, features_correlated, features_proximity, expand_terms, expand_by_terms, expand_by_session, expand_by_themes, expand_by_centroid)}
 
 _R = "fz AS (SELECT query_id, memory_id, round(score, 9) AS score FROM fu)"
 _SEEDS = "sd AS (SELECT query_id, memory_id FROM fz QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) <= 5)"
@@ -163,3 +177,9 @@ SQL["expand_by_terms"] = SQL["expand_terms"].replace("SELECT query_id, term, rou
   SELECT query_id, memory_id, round(bm25, 6) AS bm25, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, memory_id) - 1 AS rank FROM eh WHERE nt > 3 OR m = nt) WHERE rank < 30"""
 _EACH = ", ".join(f"{{'a': '{a}', 'b': '{b}', 'c': corr({a}, {b})}}" for a, b in combinations(CORRELATED, 2))
 SQL["features_correlated"] = f"SELECT u.a AS feature_a, u.b AS feature_b, CASE WHEN isnan(u.c) THEN NULL ELSE round(u.c, 6) END AS correlation FROM (SELECT unnest([{_EACH}]) AS u FROM ({SQL['features']}))"
+SQL["expand_by_links"] = P.ctes(*_BASE, Q._VEC, Q._EDGES, Q._ADJ, _MEAN.format(n="qv", t="kw", w="WHERE rank < 5"),
+  "nb AS (SELECT DISTINCT query_id, node, nxt FROM sd JOIN adj ON adj.node = sd.memory_id WHERE node <> nxt AND nxt IN (SELECT id FROM act) AND (query_id, nxt) NOT IN (SELECT query_id, memory_id FROM fz))",
+  "vv AS (SELECT nb.query_id, nxt, q.v AS q, a.e AS s, b.e AS n, list_dot_product(b.e, a.e) / list_dot_product(a.e, a.e) AS share FROM nb JOIN qv q ON q.query_id = nb.query_id JOIN vc a ON a.memory_id = node JOIN vc b ON b.memory_id = nxt)",
+  "re AS (SELECT query_id, nxt, q, list_transform(list_zip(n, s), lambda p: p[1] - share * p[2]) AS r FROM vv)",
+) + """SELECT query_id, nxt AS memory_id, round(max(CASE WHEN sqrt(list_dot_product(r, r)) < 1e-8 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, list_cosine_similarity(q, r))) END), 5) AS novelty FROM re GROUP BY query_id, nxt"""
+SQL["expand_all"] = "SELECT query_id, memory_id, string_agg(method, '+' ORDER BY method) AS methods FROM (" + " UNION ALL ".join(f"SELECT DISTINCT query_id, memory_id, '{name}' AS method FROM ({SQL[query]})" for name, query in (("pairs", "expand_by_word_pairs"), ("session", "expand_by_session"), ("terms", "expand_by_terms"), ("themes", "expand_by_themes"))) + ") GROUP BY query_id, memory_id"

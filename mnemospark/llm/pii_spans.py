@@ -27,10 +27,11 @@ _GIVEN, _PARTICLES, _COMMON, _TITLES = map(frozenset, (GIVEN_NAMES, PARTICLES, C
 
 _DOT = r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?| dot )"
 _AT = r"(?:\s?(?:@|[\[({]\s?at\s?[\])}])\s?)"
-_EMAIL = re.compile(rf"(?<![\w.+%-])[\w+%'-]+(?:{_DOT}[\w+%'-]+)*{_AT}[\w-]+(?:{_DOT}[\w-]+)+", re.I)
+# An address has at most 64 characters before the sign, so 32 parts, and 127 labels after it.
+_EMAIL = re.compile(rf"(?<![\w.+%-])[\w+%'-]+(?:{_DOT}[\w+%'-]+){{0,31}}{_AT}[\w-]+(?:{_DOT}[\w-]+){{1,126}}", re.I)
 _AT_SIGN = re.compile(r"@|[\[({]\s?at\s?[\])}]", re.I)
 _AT_WORD = re.compile(r" at [\w-]+(?:\.|\s?[\[({]\s?dot| dot )", re.I)
-_SPELLED = re.compile(rf"(?<![\w.+%-])[\w+%-]+(?:{_DOT}[\w+%-]+)* at [\w-]+(?:{_DOT}[\w-]+)+", re.I)
+_SPELLED = re.compile(rf"(?<![\w.+%-])[\w+%-]+(?:{_DOT}[\w+%-]+){{0,31}} at [\w-]+(?:{_DOT}[\w-]+){{1,126}}", re.I)
 _PHONE = re.compile(r"(?<![\w#@./+-])(?:\+\s?)?\(?\d(?:(?!\. )[\d ().\-/]){4,22}\d(?![\w])")
 _IDS = {
     "three_two_four": re.compile(r"(?<![\w-])\d{3}([- ]?)\d{2}\1\d{4}(?![\w-])"),
@@ -47,7 +48,7 @@ _ID_LABEL = (
     r"(?:ssn|social security|national insurance|ni|nino|insurance|passport|passeport|pasaporte|paszport|reisepass|dni|nif|nie|national id|identity(?: card)?|id card|personalausweis|ausweis|tax id|tin|steuer-?id|"
     r"steuernummer|codice fiscale|pesel|insee|cpf|nhs|licen[cs]e|führerschein|carte d['’]identité|sécurité sociale|dowód|паспорт\w*|снилс|инн)"
 )
-_LABELLED = re.compile(rf"(?<!\w){_ID_LABEL}\W{{0,3}}(?:(?:no|nr|number|num|numéro|número|nummer|card|is|№|n[º°])\W{{0,3}}){{0,2}}((?=[\w.\-/ ]*\d{{3}})[A-Z]{{0,3}}\d[\dA-Z]*(?:[ .\-/]?[\dA-Z]*\d[\dA-Z]*)*(?:-?[A-Z](?!\w))?)", re.I)
+_LABELLED = re.compile(rf"(?<!\w){_ID_LABEL}\W{{0,3}}(?:(?:no|nr|number|num|numéro|número|nummer|card|is|№|n[º°])\W{{0,3}}){{0,2}}((?=[\w.\-/ ]{{0,40}}\d{{3}})[A-Z]{{0,3}}\d[\dA-Z]*(?:[ .\-/]?[\dA-Z]*\d[\dA-Z]*)*(?:-?[A-Z](?!\w))?)", re.I)
 _CAPS = r"\p{Lu}[\w'’-]*"
 _KIND = r"(?:Street|St\.|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct|Close|Terrace|Place|Pl|Way|Square|Sq|Crescent|Parkway|Pkwy|Row|Gardens|Grove|Walk|Mews|Hill|Highway|Hwy)"
 _UNIT = r"(?:Flat|Apt\.?|Apartment|Unit|Suite|Ste\.?|Floor|Room|#)"
@@ -134,22 +135,20 @@ def _of_run(text: str, start: int, words: list[str]) -> Iterator[Candidate]:
     for w in words:
         places.append((w, at, at + len(w)))
         at += len(w) + 1
+    whole = [i for i, w in enumerate(words) if _full(w)]
+    next_whole = 0
     for i, (w, a, _) in enumerate(places):
+        while next_whole < len(whole) and whole[next_whole] <= i:
+            next_whole += 1
         low = _plain(w)
         if low in _COMMON or low in _TITLES or (low in _PARTICLES and len(w) > 1):
             continue
-        full = 0
-        for j in range(i + 1, len(places)):
+        for full, j in enumerate(whole[next_whole : next_whole + 2], 1):
             word, _, b = places[j]
-            if not _full(word):
-                continue
             if _plain(word) in _COMMON or _plain(word) in _TITLES:
                 break
-            full += 1
             inner = j - i - full
             yield Candidate("name", a, b, ("initial_" if w[1:2] == "." else "") + ("family" if full == 1 else "double") + ("_inner" if inner else ""), low.rstrip("."), _plain(word))
-            if full == 2:
-                break
 
 
 def _names(text: str) -> Iterator[Candidate]:

@@ -92,3 +92,13 @@ def test_empty_and_hot_texts(spark):
     got = pii.items_of_rows(df).collect()
     assert len(got) == 300 and {r.pii_text for r in got} == {"ewa@post.example.org"}
     assert pii.find_items(spark.createDataFrame([("n", None)], "key string, text string")).count() == 0
+
+
+@pytest.mark.parametrize("text", ["De {}De1", "Ana de {}x", "A. {}1", "dot {}@x", "x at {}", "Rua das {}", "Ana Da {}", "a-{}@b", "1 Aa {}", "ssn {}1 2 3", "Ana, {}", "9{}"])
+def test_long_repetitions_take_linear_time(text):
+    import time
+
+    head, tail = text.split("{}")
+    start = time.time()
+    assert sum(1 for _ in candidates(head * 20_000 + tail)) >= 0
+    assert time.time() - start < 20

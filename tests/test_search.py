@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from mnemospark.operators import expansion as X
+from mnemospark.operators.graph import betweenness
 from mnemospark.operators.retrieval import keyword_channel, theme_channel, vector_channel
 
 
@@ -76,3 +77,34 @@ def test_moved_vectors(spark):
     pairs = lambda *rows: spark.createDataFrame(list(rows), "query_id long, memory_id string")
     got = {r.query_id: r.vector[:2] for r in X.moved_vectors(pairs((1, "a"), (2, "a"), (2, "b"), (3, "gone")), pairs((1, "b"), (3, "b")), vectors).collect()}
     assert got == {1: pytest.approx([0.7 / 0.58**0.5, 0.3 / 0.58**0.5]), 2: pytest.approx([0.5**0.5] * 2)}
+
+
+def test_betweenness_in_shares(spark):
+    """A ring with a chord and a tail, from all nodes, a few at a time; nothing by (source, node) may be shuffled."""
+    links = [(i, (i + 1) % 8) for i in range(8)] + [(0, 4), (4, 8), (8, 9)]
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in links], "source_id string, target_id string")
+    sources = spark.createDataFrame([(f"n{i}",) for i in range(10)], "memory_id string")
+    beside, want = {i: {b for p in links for a, b in (p, p[::-1]) if a == i} for i in range(10)}, dict.fromkeys(range(10), 0.0)
+
+    def paths(a: int) -> tuple[dict[int, int], dict[int, int]]:
+        far, count, level = {a: 0}, {a: 1}, [a]
+        while level:
+            met: dict[int, int] = {}
+            for x in level:
+                for y in beside[x] - far.keys():
+                    met[y] = met.get(y, 0) + count[x]
+            far |= dict.fromkeys(met, far[level[0]] + 1)
+            count |= met
+            level = list(met)
+        return far, count
+
+    all_paths = {i: paths(i) for i in range(10)}
+    for s, (far, count) in all_paths.items():
+        for t in far:
+            for v in set(far) - {s, t}:
+                if far[v] + all_paths[v][0][t] == far[t] and s != t:
+                    want[v] += count[v] * all_paths[v][1][t] / count[t]
+    for at_once in (10, 30, 1000):
+        found = betweenness(edges, sources, shares=3, at_once=at_once)
+        assert {r.memory_id: r.betweenness for r in found.collect()} == {f"n{i}": pytest.approx(v) for i, v in want.items() if v}
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()

@@ -108,3 +108,23 @@ def test_betweenness_in_shares(spark):
         found = betweenness(edges, sources, shares=3, at_once=at_once)
         assert {r.memory_id: r.betweenness for r in found.collect()} == {f"n{i}": pytest.approx(v) for i, v in want.items() if v}
     assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_expansions_share_one_pool(spark, monkeypatch):
+    from mnemospark.operators import retrieval as R
+    from mnemospark.plans import feature_queries as Y
+
+    searches = []
+    for name in ("keyword_channel", "theme_channel"):
+        monkeypatch.setattr(R, name, lambda *args, f=getattr(R, name), n=name, **more: (searches.append(n), f(*args, **more))[1])
+    plan = Y.expand_all(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(searches) == ["keyword_channel", "theme_channel"] and "MapInArrow" in plan
+
+
+def test_theme_bridge_in_cells(spark):
+    memories = spark.createDataFrame([("a", ["kiln care", "clay"]), ("b", ["kiln_care"]), ("c", ["clay", "kiln-care"]), ("d", ["wheel"]), ("e", ["clay"])], "id string, themes array<string>")
+    pairs = lambda *rows: spark.createDataFrame(list(rows), "query_id long, memory_id string")
+    queries = spark.createDataFrame([(1, "wheel"), (2, "clay")], "query_id long, query string")
+    found = X.by_theme_bridge(pairs((1, "a"), (2, "a"), (2, "d")), queries, memories, pairs((1, "a"), (1, "b"), (2, "a")), k=3)
+    assert {(r.query_id, r.memory_id): (r.shared, r["rank"]) for r in found.collect()} == {(1, "c"): (2, 0), (1, "e"): (1, 1), (2, "b"): (1, 0), (2, "c"): (1, 1), (2, "d"): (1, 2)}
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()

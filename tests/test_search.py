@@ -128,3 +128,19 @@ def test_theme_bridge_in_cells(spark):
     found = X.by_theme_bridge(pairs((1, "a"), (2, "a"), (2, "d")), queries, memories, pairs((1, "a"), (1, "b"), (2, "a")), k=3)
     assert {(r.query_id, r.memory_id): (r.shared, r["rank"]) for r in found.collect()} == {(1, "c"): (2, 0), (1, "e"): (1, 1), (2, "b"): (1, 0), (2, "c"): (1, 1), (2, "d"): (1, 2)}
     assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_related_and_rocchio_search_once(spark, monkeypatch):
+    """The vectors asked for come by their ids' hash, before any shuffle; one search serves hits and pool."""
+    from mnemospark.operators import recall as C
+    from mnemospark.operators import retrieval as R
+    from mnemospark.plans import feature_queries as Y
+    from mnemospark.plans import recall_queries as Z
+
+    own, searches = [], []
+    monkeypatch.setattr(C, "related", lambda *args, f=C.related, **more: (own.append(more["own"]), f(*args, **more))[1])
+    Z.related_memories(spark, "/root/testdata/sf0.001")
+    assert all(r.h < "05" for r in own[0].selectExpr("substring(md5(cast(memory_id as binary)), 1, 2) as h").collect())
+    monkeypatch.setattr(R, "keyword_channel", lambda *args, f=R.keyword_channel, **more: (searches.append(1), f(*args, **more))[1])
+    Y.expand_by_rocchio(spark, "/root/testdata/sf0.001")
+    assert len(searches) == 1

@@ -144,3 +144,17 @@ def test_related_and_rocchio_search_once(spark, monkeypatch):
     monkeypatch.setattr(R, "keyword_channel", lambda *args, f=R.keyword_channel, **more: (searches.append(1), f(*args, **more))[1])
     Y.expand_by_rocchio(spark, "/root/testdata/sf0.001")
     assert len(searches) == 1
+
+
+def test_related_by_a_usable_copy(spark):
+    """Of a memory's copies a usable one is asked with, whichever comes first."""
+    from mnemospark.operators.recall import related
+
+    spoilt = [("a", _vector()), ("a", [None, *_vector(1)[1:]]), ("a", _vector(1)[:5]), ("a", None)]
+    rows = [*spoilt, ("a", _vector(1, 0)), ("b", _vector(1, 1)), ("c", _vector(0, 1)), ("gone", _vector(1, 0)), ("zero", _vector()), ("c", _vector(0, 1))]
+    memories = spark.createDataFrame([(m, None, None) for m in ("a", "b", "c", "zero")], "id string, summary string, themes array<string>")
+    asked = spark.createDataFrame([("a", "no such words"), ("zero", None)], "memory_id string, content string")
+    for order in (rows, rows[::-1], [rows[4], *rows[:4], *rows[5:]]):
+        vectors = spark.createDataFrame(order, "memory_id string, embedding array<float>").coalesce(1)
+        found = related(asked, memories, vectors)
+        assert [(r.memory_id, r.related_id, r["rank"]) for r in found.orderBy("memory_id", "rank").collect()] == [("a", "b", 0), ("a", "c", 1)]

@@ -158,3 +158,22 @@ def test_related_by_a_usable_copy(spark):
         vectors = spark.createDataFrame(order, "memory_id string, embedding array<float>").coalesce(1)
         found = related(asked, memories, vectors)
         assert [(r.memory_id, r.related_id, r["rank"]) for r in found.orderBy("memory_id", "rank").collect()] == [("a", "b", 0), ("a", "c", 1)]
+
+
+def test_moved_vectors_sends_what_is_asked_for(spark, monkeypatch):
+    """Of many vectors hardly any but those of hits and seeds are packed and shuffled, and all of these are."""
+    from mnemospark.operators import search
+
+    sent = []
+    monkeypatch.setattr(search, "with_packed", lambda *args, f=search.with_packed, **more: (sent.append(f(*args, **more)), sent[-1])[1])
+    vectors = spark.range(3000).selectExpr("concat('m', id) as memory_id", "transform(sequence(0, 383), i -> cast(if(i = id % 384, 2, 0) as float)) as embedding")
+    pairs = lambda *rows: spark.createDataFrame(list(rows), "query_id long, memory_id string")
+    got = X.moved_vectors(pairs((1, "m0"), (2, "m5"), (2, None)), pairs((1, "m1"), (3, "m7"), (1, "none")), vectors).collect()
+    assert {r.query_id: (r.vector[0], r.vector[1], r.vector[5]) for r in got} == {1: pytest.approx((0.7 / 0.58**0.5, 0.3 / 0.58**0.5, 0)), 2: pytest.approx((0, 0, 1))}
+    ids = {r.memory_id for r in sent[0].collect()}
+    assert {"m0", "m1", "m5", "m7"} <= ids and len(ids) < 20
+    every = spark.range(40_000).selectExpr("concat('m', id) as memory_id")
+    marks = search.marked(every.where("memory_id like '%3'"))
+    at = np.array([r.at for r in every.select(search._place("memory_id").alias("at")).collect()])
+    there = (marks[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
+    assert there[3::10].all() and there.sum() < 4200
